@@ -2,22 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palisade.llm import simhash
+from palisade.llm import lines, mixing, simhash, substrings, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spans(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"))), ",")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_units", "n_removed", F.md5("kept_text").alias("kept_md5"), _spans(F.col("removed_spans")).alias("removed_spans"))
+
+
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_url_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op6_capped_water_filling": op6_capped_water_filling,
     "op7_simhash_ball_hashing": op7_simhash_ball_hashing,
+    "op8_url_boosted_trees": op8_url_boosted_trees,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": r"""
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+parts AS (SELECT r, doc_id, string_split(text, chr(10)) AS ps FROM rows),
+units AS (SELECT r, doc_id, unnest(range(len(ps))) AS n, unnest(ps) AS u FROM parts),
+placed AS (
+  SELECT *, sum(length(u) + 1) OVER (PARTITION BY r ORDER BY n) - length(u) - 1 AS pos,
+         trim(regexp_replace(lower(u), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM units),
+ranked AS (
+  SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, r, n) > 1 AS gone FROM placed),
+cut AS (
+  SELECT r, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
+         string_agg(u, chr(10) ORDER BY n) FILTER (NOT gone) AS kept,
+         string_agg(pos || ':' || length(u), ',' ORDER BY n) FILTER (gone) AS spans FROM ranked GROUP BY r)
+SELECT doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       CASE WHEN text IS NOT NULL THEN md5(coalesce(kept, '')) END AS kept_md5, coalesce(spans, '') AS removed_spans
+FROM rows LEFT JOIN cut USING (r)
+""",
+    "op6_capped_water_filling": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+c AS (SELECT *, 3.0::DOUBLE * source_size AS cap, (sum(source_size) OVER ())::DOUBLE AS total FROM s),
+p AS (
+  SELECT *, total - coalesce(sum(cap) OVER w, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS open
+  FROM c WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, max(CASE WHEN cap >= rest / open * weight THEN rest / open END) OVER () AS final FROM p),
+t AS (
+  SELECT source, source_size, CASE WHEN final IS NULL THEN cap ELSE least(cap, final * weight) END AS target FROM f),
+g AS (
+  SELECT *, round(target)::BIGINT AS words, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS whole FROM t),
+a AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM d)
+SELECT doc_id, size, source_size, target,
+       (whole * size + greatest(0, least(size, words - whole * source_size - ahead)))::BIGINT AS taken, a.source AS source
+FROM a JOIN g ON a.source IS NOT DISTINCT FROM g.source
+""",
+}
