@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import langid, lines, mixing, simhash, substrings, urls
+from palisade.llm import langid, lines, mixing, order_minhash, simhash, substrings, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op8_url_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 def op10_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op6_capped_water_filling": op6_capped_water_filling,
     "op7_simhash_ball_hashing": op7_simhash_ball_hashing,
     "op8_url_boosted_trees": op8_url_boosted_trees,
+    "op9_order_minhash": op9_order_minhash,
     "op10_language_bitmask": op10_language_bitmask,
 }
 
