@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import langid, lines, mixing, order_minhash, simhash, substrings, urls
+from palisade.llm import langid, lines, mixing, order_minhash, simhash, substrings, urls, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_wrapper_extraction": op5_wrapper_extraction,
     "op6_capped_water_filling": op6_capped_water_filling,
     "op7_simhash_ball_hashing": op7_simhash_ball_hashing,
     "op8_url_boosted_trees": op8_url_boosted_trees,
