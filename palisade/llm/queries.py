@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import langid, lines, mixing, order_minhash, simhash, substrings, urls, wrappers
+from palisade.llm import decontamination, langid, lines, mixing, order_minhash, simhash, substrings, urls, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def _spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"))), ",")
 
 
+def op2_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_units", "n_removed", F.md5("kept_text").alias("kept_md5"), _spans(F.col("removed_spans")).alias("removed_spans"))
@@ -51,6 +55,7 @@ def op10_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_latent_decontamination": op2_latent_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_wrapper_extraction": op5_wrapper_extraction,
