@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontamination, langid, lines, mixing, order_minhash, simhash, substrings, urls, wrappers
+from palisade.llm import decontamination, langid, lines, mixing, order_minhash, simhash, substrings, tool_calls, urls, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,14 @@ def _spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"))), ",")
 
 
+def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tool_calls.link(*tool_calls.from_conversations(_table(spark, sf_dir, "conversations")), tool_calls.CHAT_SCHEMAS)
+    return out.select(
+        "conv_id", "call_id", "status", "position", "result_position", "name", "n_calls", "n_results", "place", "valid",
+        F.array_join("errors", "; ").alias("errors"), F.md5("canonical").alias("canonical_md5"), F.md5("content").alias("content_md5"),
+    )
+
+
 def op2_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +63,7 @@ def op10_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_tool_call_linking": op1_tool_call_linking,
     "op2_latent_decontamination": op2_latent_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
@@ -68,6 +77,34 @@ QUERIES = {
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op1_tool_call_linking": r"""
+WITH m AS (
+  SELECT conv_id, turn, role, text, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+raw_calls AS (
+  SELECT conv_id, 'call-' || conv_id || '-' || turn AS call_id, turn, CASE role WHEN 'user' THEN 'ask' ELSE 'configure' END AS name, text, words
+  FROM m WHERE role IN ('user', 'system')),
+calls AS (
+  SELECT *, count(*) OVER (PARTITION BY conv_id, call_id) AS n_calls FROM raw_calls
+  QUALIFY row_number() OVER (PARTITION BY conv_id, call_id ORDER BY name, words, text) = 1),
+judged AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place,
+    CASE WHEN text IS NULL THEN CASE WHEN name = 'ask' THEN '$.text: missing; $.words: missing' ELSE '$.text: missing' END
+         WHEN name = 'ask' THEN concat_ws('; ', CASE WHEN length(text) NOT BETWEEN 20 AND 1000 THEN '$.text: length' END,
+                                          CASE WHEN words NOT BETWEEN 3 AND 150 THEN '$.words: out of range' END)
+         WHEN length(text) < 1 THEN '$.text: length' ELSE '' END AS errors,
+    '{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"text":' || to_json(text) || ',"words":' || words END || '},"id":"' || call_id || '","name":"' || name || '"}' AS canonical
+  FROM calls),
+replies AS (
+  SELECT conv_id, 'call-' || conv_id || '-' || (turn - 1) AS call_id, min(turn) AS turn, count(*) AS n_results,
+         min(text) AS content
+  FROM m WHERE role = 'assistant' GROUP BY ALL)
+SELECT conv_id, call_id,
+       CASE WHEN j.name IS NULL THEN 'orphan' WHEN r.n_results IS NULL THEN 'unanswered' WHEN r.turn < j.turn THEN 'early' ELSE 'linked' END AS status,
+       j.turn::BIGINT AS position, r.turn::BIGINT AS result_position, j.name AS name, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+       place, errors = '' AS valid, errors, md5(canonical) AS canonical_md5, md5(content) AS content_md5
+FROM judged j FULL JOIN replies r USING (conv_id, call_id)
+""",
     "op3_line_dedup": r"""
 WITH rows AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 parts AS (SELECT r, doc_id, string_split(text, chr(10)) AS ps FROM rows),
