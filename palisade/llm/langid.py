@@ -196,15 +196,23 @@ def identify(docs: DataFrame, model: Filter | None = None) -> DataFrame:
     code point order; extra columns are not looked at; an empty table gives no
     rows.
     """
+    rows = docs.select("doc_id", "text", *(["lang"] if model is None else []))
     if model is None:
-        model = fit(docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"))))
+        model = fit(rows.where(~held_out(F.col("doc_id"))))
+    rows = predicted(rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model)
+    return rows.drop("text")
+
+
+def predicted(docs: DataFrame, model: Filter) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` at the end; columns of these names are replaced."""
+    rows = docs.drop("lang_pred", "score")
+    at = rows.columns.index("text")
+    schema = rows.withColumns({"lang_pred": F.lit(None).cast("string"), "score": F.lit(None).cast("double")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [model.predict(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"]
-            )
+            out = [model.predict(t.as_py()) for t in b.column(at)]
+            more = [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "lang_pred", "score"])
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, schema)

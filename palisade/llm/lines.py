@@ -60,11 +60,7 @@ def dedup(docs: DataFrame, unit: str = "line") -> DataFrame:
     units; a null doc_id is kept. Extra columns are not looked at; an empty
     table gives no rows.
     """
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("rank"))
-    gone = repeats(units(docs, unit)).groupBy("doc_id", "rank").agg(F.collect_set("n").alias("removed"))
-    gone = gone.withColumnsRenamed({"doc_id": "gone_id", "rank": "gone_rank"})
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("rank") == F.col("gone_rank")), "left")
-    rows = rows.select("doc_id", "text", "removed")
+    rows = _marked(docs.select("doc_id", "text"), unit)
     sep = SEPARATORS[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,6 +74,36 @@ def dedup(docs: DataFrame, unit: str = "line") -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, kept_text string, n_units long, n_removed long, kept_spans {spans}, removed_spans {spans}")
 
 
+def cut(docs: DataFrame, unit: str = "line") -> DataFrame:
+    """``docs`` with what ``dedup`` keeps as text, without texts of which nothing but blanks is left.
+
+    A text that lost nothing stays, even if it is blank or null.
+    """
+    rows = _marked(docs, unit)
+    sep, at = SEPARATORS[unit], docs.columns.index("text")
+    schema = rows.drop("_removed").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = b.column(b.num_columns - 1).to_pylist()
+            old = b.column(at).to_pylist()
+            new = [_cut(t, gone, sep)[0] if gone else t for t, gone in zip(old, marks)]
+            keep = pa.array([not gone or bool(t and t.strip()) for t, gone in zip(new, marks)], pa.bool_())
+            columns = [*b.columns[:-1]]
+            columns[at] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1]).filter(keep)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _marked(docs: DataFrame, unit: str) -> DataFrame:
+    """``docs`` with the numbers of the units to remove as the last column, ``_removed``."""
+    gone = repeats(units(docs.select("doc_id", "text"), unit)).groupBy("doc_id", "rank").agg(F.collect_set("n").alias("_removed"))
+    gone = gone.withColumnsRenamed({"doc_id": "_id", "rank": "_rank"})
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_rank"))
+    return docs.drop("_id", "_rank", "_removed").join(gone, same, "left").drop("_id", "_rank")
+
+
 def _cut(text: str | None, gone: list[int] | None, sep: str) -> tuple:
     if text is None:
         return None, 0, 0, [], []

@@ -53,7 +53,7 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return s.withColumn("target", target).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """What the mix takes of each row of ``docs(doc_id, source, text)``.
 
     Sources in code point order, null last, weigh ``weights`` in turn. Each
@@ -63,15 +63,16 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[int, ...]
     its words as are missing. So a source's taken words equal its target,
     rounded, and no document exceeds ``max_epochs`` times its size.
 
-    Returns ``doc_id, size, source_size, target, taken, source``. Null or
+    Returns ``doc_id, size, source_size, target, taken, source`` and the columns
+    named in ``carry``. Null or
     wordless texts have size 0 and are taken 0 times; the null source is a
     source of its own; rows with equal or null doc_id are rows of their own,
     and hash ties are broken by size; extra columns are not looked at; an empty
     table gives no rows. Reruns agree.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows = docs.select("doc_id", "source", *carry, word_count(F.col("text")).alias("size"))
     rows = rows.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))).withColumn("b", F.substring("h", 1, BUCKET_HEX))
-    cells = rows.groupBy("source", "b").agg(F.sum("size").alias("cell"))
+    cells = rows.drop(*carry).groupBy("source", "b").agg(F.sum("size").alias("cell"))
     sizes = cells.groupBy("source").agg(F.sum("cell").alias("source_size"))
     nth = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
     ranked = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((nth - 1) % len(weights) + 1).cast("int")))
@@ -86,4 +87,4 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[int, ...]
     ahead = F.coalesce(F.sum("size").over(before), F.lit(0))
     placed = rows.withColumn("ahead", ahead).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("cell_b")))
     part = F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("start") - F.col("ahead")))
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"), "source")
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"), "source", *carry)

@@ -180,3 +180,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -
     low = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     named = classes.select("fp", "root").join(low, "root").select("fp", "component_id")
     return fp.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """``docs`` with one document of each component: the smallest doc_id (null last), then text hash.
+
+    Rows that share doc_id and text are one document and become one row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [_signed(fingerprint(t.as_py(), shingle, seed)) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "rank", "fp"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rank"), F.col("text").cast("binary").alias("text"))
+    fp = staged(rows.mapInArrow(run, "doc_id long, rank long, fp long"), "simhash")
+    roots = ball_links(fp)
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rank")
+    # one row a fingerprint before the join, so that copies do not meet in one task
+    first = fp.groupBy("fp").agg(F.min(order).alias("first")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    first = first.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    kept = staged(first.select(F.col("first.doc_id").alias("_id"), F.col("first.rank").alias("_rank")), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_rank"))
+    return docs.drop("_id", "_rank").join(kept, same).dropDuplicates(["_id", "_rank"]).drop("_id", "_rank")
