@@ -73,6 +73,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_TEXT_BLOCK = re.compile(r"(p|h\d|li|ul|ol|blockquote|pre|dl|dd|dt|figure|figcaption|t[dhr]|tbody|table)\b")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -182,9 +183,6 @@ def skeleton(page: str | None) -> tuple[list[str], Counter]:
     return fold(out), chars
 
 
-Node = "str | list"
-
-
 def fold(nodes: list) -> list:
     """Adjacent repeats as repeated groups ``["+", ...]``, shortest first."""
     for width in range(1, REPEAT + 1):
@@ -226,27 +224,45 @@ def align(a: list, b: list) -> list:
     """One wrapper that fits what either fits."""
     plain = lambda x: [n for n in x if isinstance(n, list) and n[0] == "+"]
     a, b = _gathered(a, plain(b)), _gathered(b, plain(a))
-    open_up = lambda x: [n[1:] if isinstance(n, list) and n[0] == "?" else [n] for n in x]
-    fa = [(json.dumps(n), isinstance(x, list) and x[0] == "?") for x, part in zip(a, open_up(a)) for n in part]
-    fb = [(json.dumps(n), isinstance(x, list) and x[0] == "?") for x, part in zip(b, open_up(b)) for n in part]
-    out: list[tuple[str, bool]] = []
-    for op, i, j, k, n in SequenceMatcher(None, [x[0] for x in fa], [x[0] for x in fb], autojunk=False).get_opcodes():
+    fa, fb = _opened(a, "a"), _opened(b, "b")
+    out: list[tuple[str, tuple | None]] = []  # node, optional part that it belongs to
+    fate: dict[tuple, set] = {}
+    for n, (op, i, j, k, m) in enumerate(SequenceMatcher(None, [x[0] for x in fa], [x[0] for x in fb], autojunk=False).get_opcodes()):
         if op == "equal":
-            out += [(x[0], x[1] or y[1]) for x, y in zip(fa[i:j], fb[k:n])]
+            for d, (x, y) in enumerate(zip(fa[i:j], fb[k:m])):
+                for own in (x[1], y[1]):
+                    fate.setdefault(own, set()).add("met")
+                # optional on both sides: neither part need come whole any more
+                out.append((x[0], (n, d, "both") if x[1] and y[1] else x[1] or y[1]))
         else:
-            out += [(x[0], True) for x in fa[i:j] + fb[k:n]]
+            for side, part in (("a", fa[i:j]), ("b", fb[k:m])):
+                for node, own in part:
+                    fate.setdefault(own, set()).add("alone")
+                    out.append((node, own or (n, side)))
     merged: list = []
-    for s, optional in out:
-        node = json.loads(s)
-        if not optional:
-            merged.append(node)
-        elif merged and isinstance(merged[-1], list) and merged[-1][0] == "?":
-            merged[-1].append(node)
+    last = None
+    for d, (node, part) in enumerate(out):
+        if part is not None and len(fate.get(part, ())) > 1:
+            part = (d, "split")  # only some of the optional part is on the other side
+        if part is None:
+            merged.append(json.loads(node))
+        elif part == last:
+            merged[-1].append(json.loads(node))
         else:
-            merged.append(["?", node])
+            merged.append(["?", json.loads(node)])
+        last = part
     return merged
 
 
+def _opened(nodes: list, side: str) -> list[tuple[str, tuple | None]]:
+    """The nodes as JSON, with the optional part that each belongs to."""
+    out: list[tuple[str, tuple | None]] = []
+    for n, x in enumerate(nodes):
+        inner, own = (x[1:], (n, side, "old")) if isinstance(x, list) and x[0] == "?" else ([x], None)
+        out += [(json.dumps(y), own) for y in inner]
+    return out
+
+
 def slots_of(wrapper: list) -> list[str]:
     """The paths of a wrapper's text slots, in order."""
     out: list[str] = []
@@ -258,36 +274,39 @@ def slots_of(wrapper: list) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def article_slots(wrapper: list, chars: dict[str, int]) -> list[str]:
-    """The slots that hold article text.
+MARKS = (lambda x: x.startswith("article") and x.endswith("*"), lambda x: x.endswith("*"))
+
 
-    Slots in left out elements never do. Of the rest: those in an article
-    element if there are any, else in another element marked as the main text,
-    else those in the element whose own blocks hold the most characters.
+def article_slots(wrapper: list, chars: dict[str, int]) -> list[list[str]]:
+    """The slots that hold article text, for three kinds of pages.
+
+    Slots in left out elements never do. First those in an article element,
+    for pages that have one; then those in any element marked as the main text;
+    last, for pages with neither, those in the element whose own blocks hold the
+    most characters on all pages together.
     """
     free = [p for p in slots_of(wrapper) if "!" not in p]
-    for mark in (lambda x: x.startswith("article"), lambda x: True):
-        own = [p for p in free if any(x.endswith("*") and mark(x) for x in p.split("/"))]
-        if own:
-            return own
+    tiers = [[p for p in free if any(map(mark, p.split("/")))] for mark in MARKS]
     weight: Counter = Counter()
     for p in free:
-        weight[p.rpartition("/")[0] if re.match(r"(p|h\d|li|ul|ol|blockquote|pre|dl|dd|dt|figure|figcaption|t[dhr]|tbody|table)\b", p.rpartition("/")[2]) else p] += chars.get(p, 0)
-    if not weight:
-        return []
-    best = max(sorted(weight), key=weight.__getitem__)
-    return [p for p in free if p == best or p.startswith(best + "/") or not best]
+        if not any(map(MARKS[1], p.split("/"))):
+            weight[_holder(p)] += chars.get(p, 0)
+    best = max(sorted(weight), key=weight.__getitem__) if weight else None
+    return [*tiers, [p for p in free if best is not None and (p == best or not best or p.startswith(best + "/"))]]
 
 
-def main_text(page: str | None, content: set[str]) -> str:
-    """The text of the slots in ``content``: one space between words and blocks."""
-    parts: list[str] = []
-    for kind, name, text in stream(page):
-        if kind != "#":
-            parts.append(" ")
-        elif name in content:
-            parts.append(text)
-    return " ".join("".join(parts).split())
+def _holder(path: str) -> str:
+    """The element that a text block belongs to."""
+    return path.rpartition("/")[0] if _TEXT_BLOCK.match(path.rpartition("/")[2]) else path
+
+
+def main_text(page: str | None, content: list[list[str]]) -> str:
+    """The text of the slots that suit the page: one space between words and blocks."""
+    tokens = list(stream(page))
+    opened = {name for kind, name, _ in tokens if kind == "<"}
+    tier = next((n for n, mark in enumerate(MARKS) if any(map(mark, opened))), 2)
+    own = frozenset(content[tier]) if content else frozenset()
+    return " ".join("".join(" " if kind != "#" else text if name in own else "" for kind, name, text in tokens).split())
 
 
 def _merge(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -316,7 +335,7 @@ def _merge(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """``(host, wrapper, content)`` from all of ``pages(url, html)``: the wrapper as JSON, its article slots."""
+    """``(host, wrapper, content)`` from all of ``pages(url, html)``: the wrapper as JSON, its article slots as ``article_slots`` gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -336,9 +355,9 @@ def infer(pages: DataFrame) -> DataFrame:
         for b in batches:
             w, c = b.column(2).to_pylist(), b.column(3).to_pylist()
             content = [article_slots(json.loads(x), json.loads(y)) for x, y in zip(w, c)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(content, pa.list_(pa.string()))], ["host", "wrapper", "content"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(content, pa.list_(pa.list_(pa.string())))], ["host", "wrapper", "content"])
 
-    return whole.mapInArrow(mark, "host string, wrapper string, content array<string>")
+    return whole.mapInArrow(mark, "host string, wrapper string, content array<array<string>>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -359,13 +378,8 @@ def extract(pages: DataFrame) -> DataFrame:
     both = rows.join(known, F.col("host") == F.col("of_host"), "left").select("page_id", "url", "html", "host", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, set[str]] = {}
         for b in batches:
-            out = []
-            for page, host, content in zip(*(b.column(k).to_pylist() for k in (2, 3, 4))):
-                if host not in sets:
-                    sets[host] = set(content or ())
-                out.append(main_text(page, sets[host]))
+            out = [main_text(page, content or []) for page, content in zip(b.column(2).to_pylist(), b.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return both.mapInArrow(run, f"page_id {dict(both.dtypes)['page_id']}, url string, text string, n_chars long")
