@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import staged
+from palisade.llm.common import sliced, staged
 
 #: Bytes of a string that may not repeat.
 LENGTH = 400
@@ -38,6 +38,8 @@ LENGTH = 400
 GRAM = 32
 #: Anchors of one hash that are brought together at most; larger groups are counted window by window.
 LARGE = 20_000
+#: Parts over which the rows of one very common context are dealt.
+SALTS = 64
 #: Bytes looked at in one go; longer texts are read in overlapping pieces.
 PIECE = 1 << 22
 
@@ -179,7 +181,7 @@ def _group(rows: list[tuple], length: int) -> Iterator[tuple]:
 def _anchors_of(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "rank", "h", "pos", "first", "last"]
-        for b in batches:
+        for b in sliced(batches):
             ids, ranks, found = [], [], [[np.empty(0, np.int64)] for _ in range(4)]
             for i, t in enumerate(b.column(2)):
                 own = anchors(t.as_py(), length, gram)
@@ -201,7 +203,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "doc_id", "rank", "pos", "before", "after"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        for b in batches:
+        for b in sliced(batches):
             for i in range(b.num_rows):
                 doc, rank, text, found = (b.column(k)[i].as_py() for k in range(4))
                 rows = [
@@ -264,15 +266,20 @@ def _spans_of_windows(cut: DataFrame, length: int) -> DataFrame:
 
     windows = classes.mapInArrow(split, "h long, context string, c long, t long, w binary")
     often = windows.groupBy("w").agg(F.sum("c").alias("times")).where("times > 1").drop("times")
-    hits = windows.join(often, "w").groupBy("h", "context").agg(F.collect_set("t").alias("ts"))
-    rows = cut.select("doc_id", "rank", "h", "pos", "context").join(hits, ["h", "context"]).select("doc_id", "rank", "pos", "ts")
+    # a context of its own has one row to go back to; one that several rows share repeats whole, and they need no list
+    hits = windows.where("c = 1").join(often, "w").groupBy("h", "context").agg(F.collect_set("t").alias("ts"))
+    alone = cut.select("doc_id", "rank", "h", "pos", "context").join(hits, ["h", "context"]).select("doc_id", "rank", "pos", "ts")
+    salt = lambda: F.pmod(F.hash("doc_id", "rank", "pos"), F.lit(SALTS))
+    shared = classes.where("c > 1").select("h", "context", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    whole = cut.withColumn("salt", salt()).join(shared, ["h", "context", "salt"])
+    whole = whole.select("doc_id", "rank", (F.col("pos") - F.octet_length("before")).alias("start"), (F.col("pos") + F.octet_length("after")).alias("end"))
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [(d, r, a, z) for d, r, pos, ts in zip(*(b.column(k).to_pylist() for k in range(4))) for a, z in merged([(pos - t, pos - t + length) for t in ts])]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], SPAN_NAMES)
 
-    return rows.mapInArrow(ranges, SPAN_SCHEMA)
+    return alone.mapInArrow(ranges, SPAN_SCHEMA).union(whole)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -324,7 +331,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int =
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sizes, removed, kept, runs = [], [], [], []
             for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 gone = merged([(x["start"], x["end"]) for x in s or ()])
