@@ -31,7 +31,7 @@ TUPLE = 2
 #: Bits of a packed long that hold the position; words beyond 2 ** 24 share the last one.
 PLACE_BITS = 24
 _PLACE = (1 << PLACE_BITS) - 1
-#: Written for a slot that no k-mer falls in.
+#: Written for a slot that no k-mer falls in (null in arrays).
 EMPTY = "--------"
 
 
@@ -87,7 +87,7 @@ def numbered(kms: Column) -> Column:
 
 
 def slots(text: Column, k: int = K, n: int = SLOTS, size: int = TUPLE) -> Column:
-    """The ``n`` slot strings of a text."""
+    """The ``n`` slots of a text, as ints; null where no k-mer falls."""
     shift = 64 - (n.bit_length() - 1)
 
     def part(packed: Column) -> Column:
@@ -103,20 +103,25 @@ def slots(text: Column, k: int = K, n: int = SLOTS, size: int = TUPLE) -> Column
             own = F.filter(F.slice(few, i + 1, F.lit(size)), lambda x: part(x) == part(F.get(few, i)))
             # text order: position in front, then the hash bits
             back = F.sort_array(F.transform(own, lambda x: F.struct(x.bitwiseAND(F.lit(_PLACE).cast("long")).alias("at"), _top(x).alias("h"))))
-            return _let(back, lambda b: F.right(F.lpad(F.lower(F.hex(F.xxhash64(b["h"]))), 16, "0"), F.lit(8)))
+            return _let(back, lambda b: F.shiftright(F.shiftleft(F.xxhash64(b["h"]), 32), 32).cast("int"))
 
         def filled(found: Column) -> Column:
-            return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.coalesce(F.try_element_at(found, j.cast("long")), F.lit(EMPTY)))
+            return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.try_element_at(found, j.cast("long")))
 
         found = _let(at, lambda a: F.map_from_arrays(F.transform(a, lambda i: part(F.get(few, i))), F.transform(a, one)))
-        return F.when(F.size(few) == 0, F.array_repeat(F.lit(EMPTY), n)).otherwise(_let(found, filled))
+        return F.when(F.size(few) == 0, F.array_repeat(F.lit(None).cast("int"), n)).otherwise(_let(found, filled))
 
     return _let(_let(numbered(kmers(text, k)), smallest), signed)
 
 
+def printed(found: Column) -> Column:
+    """Slots as one string, eight hex digits each."""
+    return F.array_join(F.transform(found, lambda x: F.coalesce(F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"), F.lit(EMPTY))), "")
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal slots among those that either text fills; 1 if neither fills any."""
-    both = F.zip_with(a, b, lambda x, y: F.when((x == EMPTY) & (y == EMPTY), F.lit(None)).otherwise((x == y).cast("int")))
+    both = F.zip_with(a, b, lambda x, y: F.when(x.isNull() & y.isNull(), F.lit(None)).otherwise(x.eqNullSafe(y).cast("int")))
     used = F.filter(both, lambda x: x.isNotNull())
     return F.when(F.size(used) == 0, F.lit(1.0)).otherwise(
         F.aggregate(used, F.lit(0), lambda s, x: s + x).cast("double") / F.size(used)
@@ -147,20 +152,32 @@ def next_ids(ids: DataFrame) -> DataFrame:
 def with_edits(docs: DataFrame) -> DataFrame:
     """``(doc_id, next_id, text, edited)``: half of each text replaced by the start of the next document's.
 
-    Each text moves once under its own id and at most half of one under the
-    previous id.
+    Each text moves once under its own id, for both joins, and at most half of
+    one under the previous id.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sizes = rows.groupBy("doc_id").agg(F.floor(F.max(F.char_length("text")) / 2).cast("int").alias("most"))
-    chain = next_ids(rows).join(sizes, "doc_id").select(F.col("doc_id").alias("cur"), "next_id", "most")
-    heads = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).join(chain, F.col("doc_id") == F.col("next_id"))
+    every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # both joins below read this one, filtered alike, so that Spark shuffles it once
+    rows = every.where("doc_id is not null")
+    ids = rows.groupBy("doc_id")
+    ids = staged(ids.agg(F.floor(F.max(F.char_length("text")) / 2).cast("int").alias("most"), F.min(F.xxhash64("text")).alias("best"), F.count("*").alias("times")), "ids")
+    chain = next_ids(ids).join(ids.select("doc_id", "most"), "doc_id").select(F.col("doc_id").alias("cur"), "next_id", "most")
+    chain = chain.join(ids.select(F.col("doc_id").alias("next_id"), "best"), "next_id")
+    heads = rows.join(chain, F.col("doc_id") == F.col("next_id"))
+    shared = not ids.where("times > 1").isEmpty()
+    if shared:
+        heads = heads.where(F.xxhash64("text") == F.col("best"))
     heads = heads.select("cur", "next_id", F.substring(F.col("text"), F.lit(1), F.col("most")).alias("head"))
+    if shared:
+        heads = heads.dropDuplicates(["cur"])
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(
         F.substring(F.col("text"), F.lit(1), F.char_length("text") - half),
         F.substring(F.coalesce("head", F.lit("")), F.lit(1), half),
     )
-    return rows.join(heads, F.col("doc_id") == F.col("cur"), "left").select("doc_id", "next_id", "text", edited.alias("edited"))
+    joined = rows.join(heads, F.col("doc_id") == F.col("cur"), "left")
+    without = every.where("doc_id is null").withColumns({"next_id": F.lit(None).cast(dict(every.dtypes)["doc_id"]), "head": F.lit(None).cast("string")})
+    both = joined.select("doc_id", "next_id", "text", "head").unionByName(without)
+    return both.select("doc_id", "next_id", "text", edited.alias("edited"))
 
 
 def fingerprint_edits(docs: DataFrame, k: int = K, n: int = SLOTS, size: int = TUPLE) -> DataFrame:
@@ -187,13 +204,15 @@ def fingerprint_edits(docs: DataFrame, k: int = K, n: int = SLOTS, size: int = T
     )
     rows = rows.select("doc_id", "next_id", "n_chars", "edited_sha256", F.get("prints", F.lit(0)).alias("own"), F.get("prints", F.lit(1)).alias("other"), F.xxhash64("text").alias("order"))
     rows = staged(rows, "order-minhash")
-    heads = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min_by("own", "order").alias("next_own")).withColumnRenamed("doc_id", "i")
+    heads = rows.where("doc_id is not null").select(F.col("doc_id").alias("i"), F.col("own").alias("next_own"), "order")
+    if not heads.groupBy("i").count().where("count > 1").isEmpty():
+        heads = heads.groupBy("i").agg(F.min_by("next_own", "order").alias("next_own"))
     return rows.join(heads, F.col("next_id") == F.col("i"), "left").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        F.array_join("own", "").alias("fingerprint"),
-        F.array_join("other", "").alias("edited_fingerprint"),
+        printed(F.col("own")).alias("fingerprint"),
+        printed(F.col("other")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"),
         F.when(F.col("next_own").isNotNull(), likeness(F.col("own"), F.col("next_own"))).alias("near_next"),
     )
