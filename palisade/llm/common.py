@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,33 @@ LOCAL_SCRATCH = "/tmp/checkpoints"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that a Python worker turns into objects at a time.
+SLICE = 256
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in short pieces, so that what a worker holds as objects does not follow the batch size."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+#: Rows that travel to and from a Python worker at a time.
+BATCH = 1024
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """``df``, after limiting its session's Arrow batches to ``BATCH`` rows if they were longer.
+
+    Rows hold whole texts here: ten thousand of them, twice for each running
+    task and again on the way back, are memory that no executor plans for.
+    """
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, BATCH)
+    return df
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it."""
     return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import staged
+from palisade.llm.common import short_batches, sliced, staged
 
 #: Lengths of the n-grams, in characters; words are padded with one space.
 ORDERS = (2, 3, 4)
@@ -149,7 +149,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Filt
     summed for each partition before they are shuffled, and only n-grams of at
     least ``share`` reach the driver: at most len(ORDERS) / share a language.
     """
-    rows = labelled.where("text is not null and lang is not null")
+    rows = short_batches(labelled).where("text is not null and lang is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Filter.build({})
@@ -205,12 +205,12 @@ def identify(docs: DataFrame, model: Filter | None = None) -> DataFrame:
 
 def predicted(docs: DataFrame, model: Filter) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` at the end; columns of these names are replaced."""
-    rows = docs.drop("lang_pred", "score")
+    rows = short_batches(docs).drop("lang_pred", "score")
     at = rows.columns.index("text")
     schema = rows.withColumns({"lang_pred": F.lit(None).cast("string"), "score": F.lit(None).cast("double")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out = [model.predict(t.as_py()) for t in b.column(at)]
             more = [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "lang_pred", "score"])

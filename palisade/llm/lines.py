@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm.common import short_batches, sliced
+
 #: What separates units, by kind; both are matched literally in the text.
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
 
@@ -60,11 +62,11 @@ def dedup(docs: DataFrame, unit: str = "line") -> DataFrame:
     units; a null doc_id is kept. Extra columns are not looked at; an empty
     table gives no rows.
     """
-    rows = _marked(docs.select("doc_id", "text"), unit)
+    rows = _marked(short_batches(docs).select("doc_id", "text"), unit)
     sep = SEPARATORS[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out = [_cut(t, gone, sep) for t, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), SPANS, SPANS))]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], NAMES)
@@ -79,12 +81,12 @@ def cut(docs: DataFrame, unit: str = "line") -> DataFrame:
 
     A text that lost nothing stays, even if it is blank or null.
     """
-    rows = _marked(docs, unit)
+    rows = _marked(short_batches(docs), unit)
     sep, at = SEPARATORS[unit], docs.columns.index("text")
     schema = rows.drop("_removed").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             marks = b.column(b.num_columns - 1).to_pylist()
             old = b.column(at).to_pylist()
             new = [_cut(t, gone, sep)[0] if gone else t for t, gone in zip(old, marks)]

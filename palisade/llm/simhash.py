@@ -20,6 +20,7 @@ its smallest member, never a list of pairs, and no partner is capped.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import connected_components, staged
+from palisade.llm.common import connected_components, short_batches, sliced, staged
 
 BITS = 64
 SEED = 42
@@ -42,6 +43,17 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+#: For each byte, its bits as the bytes of a 64-bit integer.
+_SPREAD = np.array([[b >> k & 1 for k in range(8)] for b in range(256)], np.uint8).view(np.uint64).ravel()
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many of the rows of ``h`` (uint64) have each bit, column after column."""
+    wide = _SPREAD[np.ascontiguousarray(h).view(np.uint8).reshape(len(h), -1)]
+    # byte counters hold 255 rows
+    return np.add.reduceat(wide, np.arange(0, len(h), 255), axis=0).view(np.uint8).reshape(-1, 8 * wide.shape[1]).sum(axis=0, dtype=np.int64)
+
+
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """64-bit SimHash of a UTF-8 text over word shingles, as an unsigned integer."""
     words = (text or b"").lower().split()
@@ -55,8 +67,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(grams), 1 << 15):
         part = grams[at : at + (1 << 15)]
-        h = np.fromiter((digest(g, seed) for g in part), "<u8", len(part))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _ones(np.fromiter((digest(g, seed) for g in part), "<u8", len(part)))
     set_bits = np.packbits(2 * ones > len(grams), bitorder="little")
     return int.from_bytes(set_bits.tobytes(), "little")
 
@@ -65,11 +76,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     """``(doc_id, fp)``: a signed long for each row of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fps = [_signed(fingerprint(t.as_py(), shingle, seed)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _masks(rows: list[tuple[int, ...]], *names: str):
@@ -103,7 +114,9 @@ def ball_links(fps: DataFrame) -> DataFrame:
 
     Fingerprints without any partner are not listed.
     """
-    fps = fps.select("fp").where("fp is not null").distinct()
+    # a fixed number of partitions: a few bytes a row grow to many rows, which adaptive coalescing does not foresee
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = fps.select("fp").where("fp is not null").distinct().repartition(parts, F.xxhash64("fp"))
     met = (
         fps.select("fp", F.explode(_masks(_full(), "flip")).alias("m"))
         .select("fp", F.col("fp").bitwiseXOR(F.col("m.flip")).alias("v"))
@@ -118,7 +131,7 @@ def ball_links(fps: DataFrame) -> DataFrame:
         fps.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("comp")),
         "ball-comp",
     )
-    variants = comp.select("fp", "comp", F.explode(_masks(_blanked(), "keep", "flip", "block", "flips")).alias("m")).select(
+    variants = comp.repartition(parts, "fp").select("fp", "comp", F.explode(_masks(_blanked(), "keep", "flip", "block", "flips")).alias("m")).select(
         F.col("fp").bitwiseAND(F.col("m.keep")).bitwiseXOR(F.col("m.flip")).alias("v"),
         F.col("m.block").cast("int").alias("block"),
         F.col("m.flips").cast("int").alias("flips"),
@@ -182,24 +195,126 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -
     return fp.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``docs`` with one document of each component: the smallest doc_id (null last), then text hash.
+# --- similarity of shingle sets, for filtering -----------------------------------
+
+#: Near copies share at least this part of their different shingles of ``WIDE_SHINGLE`` words.
+SIMILARITY = 0.8
+WIDE_SHINGLE = 5
+#: Chance that a pair of exactly that similarity meets.
+RECALL = 0.95
+#: Fingerprints of a text that a pair is verified on, at least.
+VERIFIED = 24
+#: Bits of a band beyond the logarithm of the number of fingerprints: strangers share a variant about once in 2 ** SPARE / bits.
+SPARE = 8
 
-    Rows that share doc_id and text are one document and become one row.
+
+def differing(similarity: float = SIMILARITY) -> float:
+    """Share of bits in which two SimHashes of sets of that Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def bands_for(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
+    """Bits of a band, and number of bands, for n fingerprints.
+
+    A band meets if at most two of its bits differ (one flip from either side).
     """
+    bits = min(BITS, max(16, n.bit_length() + SPARE))
+    p = differing(similarity)
+    meets = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - meets))
+
+
+def wide(text: bytes | None, n: int, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> list[int]:
+    """``n`` independent 64-bit SimHashes of the set of a text's shingles, as signed integers; zeros without words."""
+    words = (text or b"").lower().split()
+    if not words:
+        return [0] * n
+    grams = {b" ".join(words)} if len(words) < shingle else set(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
+    digest = xxhash.xxh64_intdigest
+    base = np.fromiter((digest(g, seed) for g in grams), np.uint64, len(grams))
+    turns = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(BITS * n, np.int64)
+    for at in range(0, len(base), 1 << 10):
+        h = (base[at : at + (1 << 10), None] ^ turns) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        ones += _ones(h ^ (h >> np.uint64(29)))
+    return np.packbits(2 * ones > len(base), bitorder="little").view(np.int64).tolist()
+
+
+def similar_links(nodes: DataFrame, bits: int, bands: int, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges ``(src, dst)`` between similar rows of ``nodes(fp, words)``, words being independent SimHashes.
+
+    The first words are one band each, which emits its variants with at most one
+    flip. Within a variant every fingerprint is compared with one leader only, so
+    a group of any size gives a line a member: one whose band is the variant
+    itself if there is any, and another one in each band. What is near its leader
+    in the first word is verified on all words. Copies of one text may be like
+    it and less like each other; so what was near a leader is compared once more,
+    with the leader's own best connected neighbour.
+    """
+    from pyspark.sql import Window as W
+
+    limit = differing(similarity)
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low = F.lit(_signed((1 << bits) - 1)).cast("long")
+    flips = F.array(*(F.lit(_signed(x)).cast("long") for x in [0, *(1 << i for i in range(bits))]))
+    banded = nodes.repartition(parts, F.xxhash64("fp")).select("fp", F.posexplode(F.slice("words", 1, bands)).alias("band", "word"))
+    variants = banded.select("fp", "band", F.col("word").bitwiseAND(low).alias("word"), F.explode(flips).alias("flip"))
+    keyed = variants.select("fp", F.xxhash64("band", F.col("word").bitwiseXOR(F.col("flip"))).alias("key"), F.xxhash64("band").alias("turn"), (F.col("flip") == 0).alias("own"))
+    # the leader has the least fingerprint once bits are turned over, others in each band
+    group = W.partitionBy("key")
+    turned = F.col("fp").bitwiseXOR(F.col("turn"))
+    least = F.coalesce(F.min(F.when(F.col("own"), turned)).over(group), F.min(turned).over(group))
+    led = keyed.withColumn("leader", least.bitwiseXOR(F.col("turn"))).where("fp <> leader")
+    # three standard deviations above the expected number of differing bits
+    slack = math.floor(BITS * limit + 3 * math.sqrt(BITS * limit * (1 - limit)))
+    near = led.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("leader"))) <= slack).select(F.col("fp").alias("src"), F.col("leader").alias("dst")).distinct()
+    near = staged(near, "simhash-near")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        left = nodes.select(F.col("fp").alias("src"), F.col("words").alias("a"))
+        right = nodes.select(F.col("fp").alias("dst"), F.col("words").alias("b"))
+        both = pairs.join(left, "src").join(right, "dst")
+        apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        # half a standard deviation of leave, so that most pairs of exactly the similarity pass
+        size = F.size("a") * BITS
+        return both.where(apart <= limit * size + F.sqrt(limit * (1 - limit) * size) / 2).select("src", "dst")
+
+    links = staged(verified(near), "simhash-links")
+    ends = links.union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    degree = ends.groupBy("src").agg(F.count("*").alias("n"))
+    hub = ends.join(degree.select(F.col("src").alias("dst"), "n"), "dst").groupBy(F.col("src").alias("leader")).agg(F.max_by("dst", F.struct("n", "dst")).alias("hub"))
+    again = near.join(links, ["src", "dst"], "left_anti").join(hub, F.col("dst") == F.col("leader")).select("src", F.col("hub").alias("dst"))
+    return links.union(verified(again.where("src <> dst").distinct()))
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, seed: int = SEED, recall: float = RECALL) -> DataFrame:
+    """``docs`` with one document of each group of near copies: the smallest doc_id (null last), then text hash.
+
+    Near copies share ``similarity`` of their different word shingles, as
+    estimated from all bits of several SimHashes; groups are what links reach.
+    Needs ``doc_id, text``; all columns are passed on. Rows that share doc_id and
+    text are one document and become one row. Null and wordless texts are copies
+    of each other. An empty table gives no rows.
+    """
+    rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rank"), F.col("text").cast("binary").alias("text"))
+    bits, bands = bands_for(docs.select("doc_id").count(), similarity, recall)
+
+    n = max(bands, VERIFIED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = [_signed(fingerprint(t.as_py(), shingle, seed)) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "rank", "fp"])
+        for b in sliced(batches):
+            words = [wide(t.as_py(), n, shingle, seed) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([w[0] for w in words], pa.int64()), pa.array(words, pa.list_(pa.int64()))], ["doc_id", "rank", "fp", "words"]
+            )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rank"), F.col("text").cast("binary").alias("text"))
-    fp = staged(rows.mapInArrow(run, "doc_id long, rank long, fp long"), "simhash")
-    roots = ball_links(fp)
+    fp = staged(rows.mapInArrow(run, "doc_id long, rank long, fp long, words array<long>"), "simhash")
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rank")
-    # one row a fingerprint before the join, so that copies do not meet in one task
-    first = fp.groupBy("fp").agg(F.min(order).alias("first")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    first = first.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    kept = staged(first.select(F.col("first.doc_id").alias("_id"), F.col("first.rank").alias("_rank")), "kept")
+    # one row a fingerprint, so that copies do not meet in one task
+    first = staged(fp.groupBy("fp").agg(F.min(order).alias("first"), F.min("words").alias("words")), "simhash-nodes")
+    roots = connected_components(similar_links(first.select("fp", "words"), bits, bands, similarity))
+    groups = first.select("fp", "first").join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    kept = staged(groups.select(F.col("first.doc_id").alias("_id"), F.col("first.rank").alias("_rank")), "kept")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_rank"))
     return docs.drop("_id", "_rank").join(kept, same).dropDuplicates(["_id", "_rank"]).drop("_id", "_rank")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import sliced, staged
+from palisade.llm.common import short_batches, sliced, staged
 
 #: Bytes of a string that may not repeat.
 LENGTH = 400
@@ -323,7 +323,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int =
     no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("bytes"), F.hash(text).alias("rank"))
+    rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("bytes"), F.hash(text).alias("rank"))
     spans = repeated_spans(rows, length, gram, large)
     per_doc = spans.groupBy("doc_id", "rank").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     per_doc = per_doc.withColumnsRenamed({"doc_id": "i", "rank": "r"})

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import staged
+from palisade.llm.common import short_batches, sliced, staged
 from palisade.llm.urls import host_of
 
 #: Parts in which the streams of one host are aligned first.
@@ -347,7 +347,7 @@ def infer(pages: DataFrame) -> DataFrame:
                 [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array([json.dumps(c) for c in found.values()], pa.string())], ["host", "wrapper", "chars"]
             )
 
-    streams = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, wrapper string, chars string")
+    streams = short_batches(pages).select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, wrapper string, chars string")
     streams = streams.select("host", F.pmod(F.hash("wrapper"), F.lit(SALTS)).cast("int").alias("salt"), "wrapper", "chars")
     whole = _merge(_merge(streams, ["host", "salt"]), ["host"])
 
@@ -378,7 +378,7 @@ def extract(pages: DataFrame) -> DataFrame:
     both = rows.join(known, F.col("host") == F.col("of_host"), "left").select("page_id", "url", "html", "host", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out = [main_text(page, content or []) for page, content in zip(b.column(2).to_pylist(), b.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
