@@ -10,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palisade.llm import decontamination, mixing, simhash, tool_calls, wrappers
+from palisade.llm import decontamination, mixing, tool_calls, wrappers
 from tests.llm.data import LONG, awkward, documents
 from tests.llm.test_corpus import size_of, spoken
-from tests.llm.test_dedup import linked, plain_fingerprint, plain_lines
+from tests.llm.test_dedup import plain_lines, similar
 
 # --- wrappers ------------------------------------------------------------------
 
@@ -263,10 +263,10 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert set(kept["language_id"]) == {r[0] for r in rows} - {500, 501, 502}
     at = {r[0]: r[1] for r in rows}
     left = [i for i in at if i not in (500, 501, 502)]
-    root = linked([plain_fingerprint(at[i]) for i in left])
+    root = similar({i: at[i] for i in left}, 0.8)
     first = {}
     for i in sorted(left):
-        first.setdefault(root[plain_fingerprint(at[i])], i)
+        first.setdefault(root[i], i)
     assert set(kept["near_duplicates"]) == set(first.values()) and not set(range(300, 306)) & set(first.values())
     lines = plain_lines([(i, at[i]) for i in first.values()])
     want = {}
@@ -282,7 +282,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert set(mixed) <= set(last) and all(r.taken <= 3 * size_of(last[i].text) and r.text == last[i].text for i, r in mixed.items())
     assert sum(r.taken for r in mixed.values()) == pytest.approx(sum(size_of(r.text) for r in last.values()), abs=4)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(mixed)
-    assert mixing.MAX_EPOCHS == 3 and simhash.RADIUS == 3
+    assert mixing.MAX_EPOCHS == 3
 
 
 def test_stages_take_empty_and_awkward_documents(spark, tmp_path):
