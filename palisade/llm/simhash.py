@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palisade.llm.common import connected_components, short_batches, sliced, staged
@@ -104,9 +105,8 @@ def _blanked() -> list[tuple[int, ...]]:
 
 def _star(df: DataFrame, keys: list[str], node: str) -> DataFrame:
     """Edges from each different ``node`` of a key to the key's smallest node."""
-    rows = df.select(*keys, F.col(node).alias("src")).distinct()
-    low = rows.groupBy(*keys).agg(F.min("src").alias("dst"), F.max("src").alias("top")).where("dst <> top").drop("top")
-    return rows.join(low, keys).where("src <> dst").select("src", "dst").distinct()
+    low = F.min(node).over(W.partitionBy(*keys))
+    return df.select(F.col(node).alias("src"), low.alias("dst")).where("src <> dst").distinct()
 
 
 def ball_links(fps: DataFrame) -> DataFrame:
@@ -138,8 +138,6 @@ def ball_links(fps: DataFrame) -> DataFrame:
         "fp",
         "comp",
     )
-    from pyspark.sql import Window as W
-
     group = W.partitionBy("v", "block")
     met = staged(
         variants.withColumn("lo", F.min("comp").over(group)).withColumn("hi", F.max("comp").over(group)).where("lo <> hi").drop("lo", "hi"),
@@ -148,28 +146,18 @@ def ball_links(fps: DataFrame) -> DataFrame:
 
     deleted = [(b, 1 << p) for b, (lo, hi) in enumerate(BLOCKS) for p in range(lo, hi)]
     by_block = F.filter(_masks(deleted, "block", "bit"), lambda x: x["block"] == F.col("block"))
-    one = met.select("v", "comp", "fp", "block", F.explode(by_block).alias("m")).select(
-        "v", "block", F.col("m.bit").alias("bit"), F.col("fp").bitwiseAND(F.bitwise_not(F.col("m.bit"))).alias("rest"), "comp", "fp"
-    )
+    one = met.select("v", "comp", "fp", "block", F.explode(by_block).alias("m"))
     # what is left of the blank block once the deleted bit is gone
     span = F.element_at(F.array(*(F.lit(_signed(((1 << hi) - 1) ^ ((1 << lo) - 1))).cast("long") for lo, hi in BLOCKS)), F.col("block") + 1)
-    one = one.withColumn("rest", F.col("rest").bitwiseAND(span)).drop("fp")
-    links = _star(one, ["v", "block", "bit", "rest"], "comp")
+    # variants have no bits in the blank block, so both fit in one long; the deleted bit tells which block it is
+    rest = F.col("fp").bitwiseAND(F.bitwise_not(F.col("m.bit"))).bitwiseAND(span)
+    links = _star(one.select(F.col("v").bitwiseOR(rest).alias("left"), F.col("m.bit").alias("bit"), "comp"), ["left", "bit"], "comp")
 
     inside = [(b, 1 << p, (1 << q) if q != p else 0) for b, (lo, hi) in enumerate(BLOCKS) for p in range(lo, hi) for q in range(lo, hi)]
     by_block = F.filter(_masks(inside, "block", "bit", "flip"), lambda x: x["block"] == F.col("block"))
-    three = (
-        met.where("flips = 0")
-        .select("v", "comp", "fp", "block", F.explode(by_block).alias("m"))
-        .select(
-            "v",
-            "block",
-            F.col("m.bit").alias("bit"),
-            F.col("fp").bitwiseXOR(F.col("m.flip")).bitwiseAND(F.bitwise_not(F.col("m.bit"))).bitwiseAND(span).alias("rest"),
-            "comp",
-        )
-    )
-    links = links.union(_star(three, ["v", "block", "bit", "rest"], "comp"))
+    three = met.where("flips = 0").select("v", "comp", "fp", "block", F.explode(by_block).alias("m"))
+    rest = F.col("fp").bitwiseXOR(F.col("m.flip")).bitwiseAND(F.bitwise_not(F.col("m.bit"))).bitwiseAND(span)
+    links = links.union(_star(three.select(F.col("v").bitwiseOR(rest).alias("left"), F.col("m.bit").alias("bit"), "comp"), ["left", "bit"], "comp"))
     joined = connected_components(near.select(F.col("node").alias("src"), F.col("root").alias("dst")).union(links))
     return joined
 
@@ -201,11 +189,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -
 SIMILARITY = 0.8
 WIDE_SHINGLE = 5
 #: Chance that a pair of exactly that similarity meets.
-RECALL = 0.95
+RECALL = 0.97
 #: Fingerprints of a text that a pair is verified on, at least.
 VERIFIED = 24
 #: Bits of a band beyond the logarithm of the number of fingerprints: strangers share a variant about once in 2 ** SPARE / bits.
-SPARE = 8
+SPARE = 6
 
 
 def differing(similarity: float = SIMILARITY) -> float:
@@ -246,25 +234,20 @@ def similar_links(nodes: DataFrame, bits: int, bands: int, similarity: float = S
 
     The first words are one band each, which emits its variants with at most one
     flip. Within a variant every fingerprint is compared with one leader only, so
-    a group of any size gives a line a member: one whose band is the variant
-    itself if there is any, and another one in each band. What is near its leader
+    a group of any size gives a line a member, and another one in each band. What is near its leader
     in the first word is verified on all words. Copies of one text may be like
     it and less like each other; so what was near a leader is compared once more,
     with the leader's own best connected neighbour.
     """
-    from pyspark.sql import Window as W
-
     limit = differing(similarity)
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     low = F.lit(_signed((1 << bits) - 1)).cast("long")
     flips = F.array(*(F.lit(_signed(x)).cast("long") for x in [0, *(1 << i for i in range(bits))]))
     banded = nodes.repartition(parts, F.xxhash64("fp")).select("fp", F.posexplode(F.slice("words", 1, bands)).alias("band", "word"))
     variants = banded.select("fp", "band", F.col("word").bitwiseAND(low).alias("word"), F.explode(flips).alias("flip"))
-    keyed = variants.select("fp", F.xxhash64("band", F.col("word").bitwiseXOR(F.col("flip"))).alias("key"), F.xxhash64("band").alias("turn"), (F.col("flip") == 0).alias("own"))
+    keyed = variants.select("fp", F.xxhash64("band", F.col("word").bitwiseXOR(F.col("flip"))).alias("key"), F.xxhash64("band").alias("turn"))
     # the leader has the least fingerprint once bits are turned over, others in each band
-    group = W.partitionBy("key")
-    turned = F.col("fp").bitwiseXOR(F.col("turn"))
-    least = F.coalesce(F.min(F.when(F.col("own"), turned)).over(group), F.min(turned).over(group))
+    least = F.min(F.col("fp").bitwiseXOR(F.col("turn"))).over(W.partitionBy("key"))
     led = keyed.withColumn("leader", least.bitwiseXOR(F.col("turn"))).where("fp <> leader")
     # three standard deviations above the expected number of differing bits
     slack = math.floor(BITS * limit + 3 * math.sqrt(BITS * limit * (1 - limit)))
@@ -284,8 +267,12 @@ def similar_links(nodes: DataFrame, bits: int, bands: int, similarity: float = S
     ends = links.union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     degree = ends.groupBy("src").agg(F.count("*").alias("n"))
     hub = ends.join(degree.select(F.col("src").alias("dst"), "n"), "dst").groupBy(F.col("src").alias("leader")).agg(F.max_by("dst", F.struct("n", "dst")).alias("hub"))
-    again = near.join(links, ["src", "dst"], "left_anti").join(hub, F.col("dst") == F.col("leader")).select("src", F.col("hub").alias("dst"))
-    return links.union(verified(again.where("src <> dst").distinct()))
+    # what is not yet in its leader's component
+    roots = staged(connected_components(links), "simhash-first")
+    apart = near.join(roots.select(F.col("node").alias("src"), F.col("root").alias("r")), "src", "left").join(roots.select(F.col("node").alias("dst"), F.col("root").alias("q")), "dst", "left")
+    apart = apart.where(F.coalesce("r", "src") != F.coalesce("q", "dst"))
+    again = apart.join(hub, F.col("dst") == F.col("leader")).select("src", F.col("hub").alias("dst")).where("src <> dst").distinct()
+    return links.union(verified(again))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, seed: int = SEED, recall: float = RECALL) -> DataFrame:
