@@ -268,11 +268,10 @@ def _spans_of_windows(cut: DataFrame, length: int) -> DataFrame:
     often = windows.groupBy("w").agg(F.sum("c").alias("times")).where("times > 1").drop("times")
     # a context of its own has one row to go back to; one that several rows share repeats whole, and they need no list
     hits = windows.where("c = 1").join(often, "w").groupBy("h", "context").agg(F.collect_set("t").alias("ts"))
-    alone = cut.select("doc_id", "rank", "h", "pos", "context").join(hits, ["h", "context"]).select("doc_id", "rank", "pos", "ts")
-    salt = lambda: F.pmod(F.hash("doc_id", "rank", "pos"), F.lit(SALTS))
-    shared = classes.where("c > 1").select("h", "context", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    whole = cut.withColumn("salt", salt()).join(shared, ["h", "context", "salt"])
-    whole = whole.select("doc_id", "rank", (F.col("pos") - F.octet_length("before")).alias("start"), (F.col("pos") + F.octet_length("after")).alias("end"))
+    shared = classes.where("c > 1").select("h", "context", F.lit(True).alias("many"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    marked = cut.withColumn("salt", F.pmod(F.hash("doc_id", "rank", "pos"), F.lit(SALTS))).join(shared, ["h", "context", "salt"], "left")
+    whole = marked.where("many").select("doc_id", "rank", (F.col("pos") - F.octet_length("before")).alias("start"), (F.col("pos") + F.octet_length("after")).alias("end"))
+    alone = marked.where("many is null").select("doc_id", "rank", "h", "pos", "context").join(hits, ["h", "context"]).select("doc_id", "rank", "pos", "ts")
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
