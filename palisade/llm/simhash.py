@@ -192,6 +192,8 @@ WIDE_SHINGLE = 5
 RECALL = 0.97
 #: Fingerprints of a text that a pair is verified on, at least.
 VERIFIED = 24
+#: Members of a shared variant that are compared with each other in one piece, about.
+CELL = 256
 #: Bits of a band beyond the logarithm of the number of fingerprints: strangers share a variant about once in 2 ** SPARE / bits.
 SPARE = 6
 
@@ -233,11 +235,13 @@ def similar_links(nodes: DataFrame, bits: int, bands: int, similarity: float = S
     """Edges ``(src, dst)`` between similar rows of ``nodes(fp, words)``, words being independent SimHashes.
 
     The first words are one band each, which emits its variants with at most one
-    flip. Within a variant every fingerprint is compared with one leader only, so
+    flip. Within a variant every fingerprint is first compared with one leader, so
     a group of any size gives a line a member, and another one in each band. What is near its leader
     in the first word is verified on all words. Copies of one text may be like
     it and less like each other; so what was near a leader is compared once more,
-    with the leader's own best connected neighbour.
+    with the leader's own best connected neighbour. Members of a variant that are
+    then in different components are compared with each other, see ``_across``:
+    every pair that shares a variant is verified, or linked already.
     """
     limit = differing(similarity)
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -247,11 +251,13 @@ def similar_links(nodes: DataFrame, bits: int, bands: int, similarity: float = S
     variants = banded.select("fp", "band", F.col("word").bitwiseAND(low).alias("word"), F.explode(flips).alias("flip"))
     keyed = variants.select("fp", F.xxhash64("band", F.col("word").bitwiseXOR(F.col("flip"))).alias("key"), F.xxhash64("band").alias("turn"))
     # the leader has the least fingerprint once bits are turned over, others in each band
-    least = F.min(F.col("fp").bitwiseXOR(F.col("turn"))).over(W.partitionBy("key"))
-    led = keyed.withColumn("leader", least.bitwiseXOR(F.col("turn"))).where("fp <> leader")
+    group = W.partitionBy("key")
+    led = keyed.withColumn("leader", F.min(F.col("fp").bitwiseXOR(F.col("turn"))).over(group).bitwiseXOR(F.col("turn"))).withColumn("more", F.count("*").over(group) > 2).where("fp <> leader")
     # three standard deviations above the expected number of differing bits
     slack = math.floor(BITS * limit + 3 * math.sqrt(BITS * limit * (1 - limit)))
-    near = led.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("leader"))) <= slack).select(F.col("fp").alias("src"), F.col("leader").alias("dst")).distinct()
+    led = led.withColumn("leader", F.when(F.bit_count(F.col("fp").bitwiseXOR(F.col("leader"))) <= slack, F.col("leader")))
+    met = staged(led.where("more or leader is not null").select(F.when(F.col("more"), F.col("key")).alias("key"), "fp", "leader"), "simhash-met")
+    near = met.where("leader is not null").select(F.col("fp").alias("src"), F.col("leader").alias("dst")).distinct()
     near = staged(near, "simhash-near")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -272,7 +278,46 @@ def similar_links(nodes: DataFrame, bits: int, bands: int, similarity: float = S
     apart = near.join(roots.select(F.col("node").alias("src"), F.col("root").alias("r")), "src", "left").join(roots.select(F.col("node").alias("dst"), F.col("root").alias("q")), "dst", "left")
     apart = apart.where(F.coalesce("r", "src") != F.coalesce("q", "dst"))
     again = apart.join(hub, F.col("dst") == F.col("leader")).select("src", F.col("hub").alias("dst")).where("src <> dst").distinct()
-    return links.union(verified(again))
+    members = met.where("key is not null").select("key", "fp")
+    return links.union(verified(again)).union(_across(members, roots, nodes, slack, limit))
+
+
+def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, slack: int, limit: float) -> DataFrame:
+    """Edges between similar ``members(key, fp)`` of a key that are in different components ``roots(node, root)``.
+
+    The members of a key are dealt into blocks, and each two blocks meet in a
+    cell of bounded size, so the pairs of a large key are many small tasks and are
+    never rows: a cell passes on members that are near another one in the
+    first word, then links that hold on all words.
+    """
+    group = W.partitionBy("key")
+    rest = members.join(roots.select(F.col("node").alias("fp"), F.col("root").alias("comp")), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    rest = rest.withColumn("lo", F.min("comp").over(group)).withColumn("hi", F.max("comp").over(group)).withColumn("n", F.count("*").over(group)).where("lo <> hi")
+    rest = rest.withColumn("blocks", F.ceil(F.col("n") / CELL).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = rest.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("fp", "comp")).alias("all"))
+    meets = lambda x, y: (x["comp"] != y["comp"]) & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= slack)
+    cells = cells.withColumn("all", F.filter("all", lambda x: F.exists("all", lambda y: meets(x, y)))).where(F.size("all") > 0)
+    close = staged(cells.select("key", "i", "j", F.explode("all").alias("m")).select("key", "i", "j", "m.fp", "m.comp"), "simhash-close")
+    whole = close.join(nodes.select("fp", "words"), "fp").groupBy("key", "i", "j").agg(F.collect_list(F.struct("fp", "comp", "words")).alias("all"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            src, dst = [], []
+            at, rows = b.column(0).offsets.to_numpy(), b.column(0).values
+            fp, comp = (rows.field(k).to_numpy() for k in (0, 1))
+            words = rows.field(2).values.to_numpy().reshape(len(fp), -1) if len(fp) else None
+            for lo, hi in zip(at[:-1], at[1:]):
+                size = BITS * words.shape[1]
+                most = limit * size + math.sqrt(limit * (1 - limit) * size) / 2
+                for k in range(lo, hi - 1):
+                    apart = np.bitwise_count((words[k + 1 : hi] ^ words[k]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                    found = k + 1 + np.flatnonzero((apart <= most) & (comp[k + 1 : hi] != comp[k]))
+                    src += [fp[k]] * len(found)
+                    dst += fp[found].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    return short_batches(whole).select("all").mapInArrow(run, "src long, dst long").distinct()
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, seed: int = SEED, recall: float = RECALL) -> DataFrame:

@@ -162,6 +162,23 @@ def test_near_copies_go_and_others_stay(spark):
     assert {i for i in texts if low[i] == i} <= kept
 
 
+def test_copies_within_a_family_go(spark, monkeypatch):
+    """Texts on one template are no copies, and do not hide the copies among them."""
+    monkeypatch.setattr(simhash, "CELL", 40)
+    rng = random.Random(11)
+    vocabulary = [f"w{n}" for n in range(3000)]
+    template, texts = rng.choices(vocabulary, k=280), {}
+    for n in range(150):
+        one = template + rng.choices(vocabulary, k=72)
+        texts[2 * n], texts[2 * n + 1] = " ".join(one), " ".join(edited(rng, one, 3))
+    high, low = similar(texts, 0.85), similar(texts, 0.75)
+    copies = {i for i in texts if high[i] != i}
+    assert len(copies) == 150 and high == low
+    kept = {r.doc_id for r in simhash.keep_one(documents(spark, [(i, t, "en", "s") for i, t in texts.items()])).collect()}
+    assert len(copies - kept) / len(copies) > 0.97
+    assert len({i for i in texts if low[i] == i} & kept) > 145
+
+
 def test_bands():
     assert simhash.bands_for(0) == (16, simhash.bands_for(100)[1])
     assert simhash.bands_for(10**9)[0] == 30 + simhash.SPARE and simhash.bands_for(10**9)[1] > simhash.bands_for(10**6)[1]
