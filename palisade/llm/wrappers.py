@@ -278,21 +278,37 @@ MARKS = (lambda x: x.startswith("article") and x.endswith("*"), lambda x: x.ends
 
 
 def article_slots(wrapper: list, chars: dict[str, int]) -> list[list[str]]:
-    """The slots that hold article text, for three kinds of pages.
+    """The slots that hold article text, for three kinds of pages, and the element of the third kind.
 
     Slots in left out elements never do. First those in an article element,
     for pages that have one; then those in any element marked as the main text;
-    last, for pages with neither, those in the element whose own blocks hold the
-    most characters on all pages together.
+    last, for pages with neither, those around the element whose own blocks hold the
+    most characters on all pages together, see ``_body``.
     """
     free = [p for p in slots_of(wrapper) if "!" not in p]
     tiers = [[p for p in free if any(map(mark, p.split("/")))] for mark in MARKS]
+    best, body = _body(free, chars)
+    return [*tiers, body, [] if best is None else [best]]
+
+
+def _body(free: list[str], chars: dict[str, int]) -> tuple[str | None, list[str]]:
+    """Of unmarked slots, the element whose own blocks hold the most characters; and the slots in it, in its siblings of the same tag, and in their parent's own blocks."""
     weight: Counter = Counter()
     for p in free:
         if not any(map(MARKS[1], p.split("/"))):
             weight[_holder(p)] += chars.get(p, 0)
-    best = max(sorted(weight), key=weight.__getitem__) if weight else None
-    return [*tiers, [p for p in free if best is not None and (p == best or not best or p.startswith(best + "/"))]]
+    if not weight:
+        return None, []
+    best = max(sorted(weight), key=weight.__getitem__)
+    parent, _, name = best.rpartition("/")
+    above = parent + "/" if parent else ""
+    tag = name.partition(".")[0]
+    beside = lambda p: p.startswith(above) and p[len(above) :].partition("/")[0].partition(".")[0] == tag
+    return best, [p for p in free if not best or _under(p, best) or beside(p) or (parent and _holder(p) == parent)]
+
+
+def _under(path: str, element: str) -> bool:
+    return not element or path == element or path.startswith(element + "/")
 
 
 def _holder(path: str) -> str:
@@ -301,11 +317,29 @@ def _holder(path: str) -> str:
 
 
 def main_text(page: str | None, content: list[list[str]]) -> str:
-    """The text of the slots that suit the page: one space between words and blocks."""
+    """The text of the slots that suit the page: one space between words and blocks.
+
+    A page without a marked element outside left out ones, and without text in
+    its host's heaviest element, is of another template: its own heaviest counts.
+    """
     tokens = list(stream(page))
-    opened = {name for kind, name, _ in tokens if kind == "<"}
+    opened, out = set(), []
+    for kind, name, _ in tokens:
+        if kind == "<":
+            out.append(name.endswith("!") or bool(out and out[-1]))
+            if not out[-1]:
+                opened.add(name)
+        elif kind == ">":
+            out.pop()
     tier = next((n for n, mark in enumerate(MARKS) if any(map(mark, opened))), 2)
     own = frozenset(content[tier]) if content else frozenset()
+    if tier == 2 and content:
+        chars: Counter = Counter()
+        for kind, name, text in tokens:
+            if kind == "#" and "!" not in name and text.strip():
+                chars[name] += len(text.strip())
+        if not any(_under(p, best) for best in content[3] for p in chars):
+            own = frozenset(_body(list(chars), chars)[1])
     return " ".join("".join(" " if kind != "#" else text if name in own else "" for kind, name, text in tokens).split())
 
 

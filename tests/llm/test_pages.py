@@ -55,6 +55,17 @@ def test_extract(spark):
     assert wrappers.extract(pages.union(pages)).count() == 2 * len(CASES)
 
 
+def test_pages_of_other_templates_keep_their_text(spark):
+    """A smaller template, sibling sections, and a page whose only article is a teaser in an aside."""
+    long = "of the large template " * 9
+    cases = [(f"<body><div class=post><p>{long}{n}</p></div></body>", f"{long}{n}") for n in range(3)]
+    cases += [("<body><section class=entry><h2>E</h2><p>small template</p></section></body>", "E small template")]
+    cases += [("<body><div class=post><p>one</p></div><div class=rest><p>two</p></div></body>", "one two")]
+    cases += [("<body><div class=post><p>body</p></div><aside><article><p>teaser</p></article></aside></body>", "body")]
+    pages = spark.createDataFrame([(n, f"http://t.com/{n}", h) for n, (h, _) in enumerate(cases)], "page_id long, url string, html string")
+    assert [r.text for r in wrappers.extract(pages).orderBy("page_id").collect()] == [w for _, w in cases]
+
+
 def test_fold_and_align():
     assert wrappers.fold(list("abcbcbcd")) == ["a", ["+", "b", "c"], "d"]
     assert wrappers.fold(list("aab")) == [["+", "a"], "b"]
