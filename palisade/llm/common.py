@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder (tests, a laptop).
-LOCAL_SCRATCH = "/tmp/checkpoints"
+from palisade.sources.scratch import discard, staged
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,22 +41,38 @@ def short_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of half-open ranges."""
+    out: list[list[int]] = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], z)
+        else:
+            out.append([a, z])
+    return [(a, z) for a, z in out]
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back.
+def common_keys(rows: DataFrame, known: DataFrame, *keys: str, parts: int = 256) -> DataFrame:
+    """``rows`` whose ``keys`` occur more than once, with the columns of ``known(*keys, ..., times)`` beside them.
 
-    This cuts the lineage with a replicated copy: losing an executor costs a
-    re-read, not a recomputation, and rows that depend on physical placement
-    cannot change between two uses.
+    ``known`` has one row a key, read several times, so it should be a table.
+    Keys with more than one in ``parts`` of all rows are at most ``parts``, and
+    go to the rows as a broadcast; the rows of all other keys meet theirs in a
+    shuffle in which no key is large. Keys must not be null.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/palisade-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    more = [c for c in known.columns if c not in keys and c != "times"]
+    total = known.agg(F.sum("times")).first()[0] or 0
+    known = known.where("times > 1")
+    beside = lambda df, mark: df.select(*(F.col(k).alias(f"{mark}{k}") for k in keys), *(F.col(c).alias(f"{mark}{c}") for c in more), F.lit(True).alias(mark))
+    often = beside(known.where(F.col("times") > total / parts), "_hot_")
+    seldom = beside(known.where(F.col("times") <= total / parts), "_cold_")
+    meets = lambda mark: [F.col(k) == F.col(f"{mark}{k}") for k in keys]
+    both = rows.join(F.broadcast(often), meets("_hot_"), "left")
+    # rows that are served are dealt evenly and meet nothing
+    salt = F.when(F.col("_hot_"), F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns)), F.lit(1 << 20)) + 1).otherwise(F.lit(0)).cast("int")
+    both = both.withColumn("_salt", salt).join(seldom.withColumn("_none", F.lit(0)), [*meets("_cold_"), F.col("_salt") == F.col("_none")], "left")
+    found = [F.when(F.col("_hot_"), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in more]
+    return both.where("_hot_ or _cold_").select(*(F.col(c) for c in rows.columns), *found)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -94,7 +108,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("src <> dst")
             .distinct()
         )
-        e = staged(small, "edges")
+        old, e = e, staged(small, "edges")
+        discard(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
         if now == before:
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontamination, langid, lines, mixing, order_minhash, simhash, substrings, tool_calls, urls, wrappers
+from palisade.llm import decontamination, langid, lines, mixing, order_minhash, passages, simhash, substrings, tool_calls, urls, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,12 +30,14 @@ def op2_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_units", "n_removed", F.md5("kept_text").alias("kept_md5"), _spans(F.col("removed_spans")).alias("removed_spans"))
+    spans = [_spans(F.col(c)).alias(c) for c in ("removed_spans", "passage_spans")]
+    return out.select("doc_id", "n_units", "n_removed", "n_passages", *spans, F.col("kept_text").alias("text"))
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.dedup(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), (s["end"] - s["start"]).cast("string"))), ",")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("kept_text").alias("text"), spans.alias("removed_spans"))
 
 
 def op5_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,14 +116,38 @@ placed AS (
          trim(regexp_replace(lower(u), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM units),
 ranked AS (
   SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, r, n) > 1 AS gone FROM placed),
+line AS (SELECT *, coalesce(max(n) FILTER (NOT gone) OVER (PARTITION BY r), -1) AS last FROM ranked),
 cut AS (
   SELECT r, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
-         string_agg(u, chr(10) ORDER BY n) FILTER (NOT gone) AS kept,
-         string_agg(pos || ':' || length(u), ',' ORDER BY n) FILTER (gone) AS spans FROM ranked GROUP BY r)
-SELECT doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed,
-       CASE WHEN text IS NOT NULL THEN md5(coalesce(kept, '')) END AS kept_md5, coalesce(spans, '') AS removed_spans
-FROM rows LEFT JOIN cut USING (r)
-""",
+         string_agg(pos || ':' || length(u), ',' ORDER BY n) FILTER (gone) AS spans FROM line GROUP BY r),
+low AS (SELECT r, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM rows WHERE text IS NOT NULL),
+split AS (
+  SELECT r, doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+         CASE WHEN regexp_matches(t, '^[\x20\x09-\x0D]') THEN regexp_extract_all(t, '[\x20\x09-\x0D]+') ELSE list_prepend('', regexp_extract_all(t, '[\x20\x09-\x0D]+')) END AS seps FROM low),
+each AS (SELECT r, doc_id, len(ws) AS m, unnest(range(len(ws))) AS i, unnest(ws) AS w, unnest(seps[1:len(ws)]) AS sep FROM split),
+word AS (SELECT *, sum(length(sep) + length(w)) OVER (PARTITION BY r ORDER BY i)::BIGINT AS z FROM each),
+win AS (
+  SELECT r, doc_id, i, z, z - length(w) AS a, CASE WHEN i <= m - {n} THEN string_agg(w, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {n} - 1 FOLLOWING) END AS run FROM word),
+again AS (
+  SELECT *, run IS NOT NULL AND (first_value(r) OVER g <> r OR i >= first_value(i) OVER g + {n}) AS late
+  FROM win WINDOW g AS (PARTITION BY run ORDER BY doc_id NULLS LAST, r, i)),
+hit AS (SELECT *, max(late::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {n} - 1 PRECEDING AND CURRENT ROW) AS h FROM again),
+passage AS (
+  SELECT r, min(a) AS a, max(z) AS z FROM (SELECT *, i - row_number() OVER (PARTITION BY r ORDER BY i) AS run_no FROM hit WHERE h = 1) GROUP BY r, run_no),
+passages AS (SELECT r, count(*) AS n_passages, string_agg(a || ':' || (z - a), ',' ORDER BY a) AS spans FROM passage GROUP BY r),
+gap AS (
+  SELECT r, CASE WHEN n < last THEN pos ELSE greatest(0, pos - 1) END AS a, pos + length(u) + CASE WHEN n < last THEN 1 ELSE 0 END AS z FROM line WHERE gone
+  UNION ALL SELECT r, a, z FROM passage),
+apart AS (SELECT *, a > max(z) OVER (PARTITION BY r ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS new FROM gap),
+island AS (SELECT *, sum(coalesce(new, true)::INT) OVER (PARTITION BY r ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS k FROM apart),
+hole AS (SELECT r, min(a) AS a, max(z) AS z FROM island GROUP BY r, k),
+between_ AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS from_ FROM hole),
+kept AS (
+  SELECT r, string_agg(substr(text, from_::BIGINT + 1, (a - from_)::BIGINT), '' ORDER BY a) || substr(any_value(text), max(z)::BIGINT + 1) AS text FROM between_ JOIN rows USING (r) GROUP BY r)
+SELECT doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_passages, 0)::BIGINT AS n_passages,
+       coalesce(cut.spans, '') AS removed_spans, coalesce(passages.spans, '') AS passage_spans, CASE WHEN kept.r IS NULL THEN rows.text ELSE kept.text END AS text
+FROM rows LEFT JOIN cut USING (r) LEFT JOIN passages USING (r) LEFT JOIN kept USING (r)
+""".replace("{n}", str(passages.WORDS)),
     "op6_capped_water_filling": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

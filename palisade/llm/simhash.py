@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palisade.llm.common import connected_components, short_batches, sliced, staged
+from palisade.llm.common import connected_components, short_batches, sliced
+from palisade.sources.scratch import release, staged, written
 
 BITS = 64
 SEED = 42
@@ -193,7 +194,11 @@ RECALL = 0.97
 #: Fingerprints of a text that a pair is verified on, at least.
 VERIFIED = 24
 #: Members of a shared variant that are compared with each other in one piece, about.
-CELL = 256
+CELL = 4096
+#: Members of a shared variant beyond which they count as a family.
+FAMILY = 16
+#: Members up to which pieces are compared many at a time.
+FEW = 32
 #: Bits of a band beyond the logarithm of the number of fingerprints: strangers share a variant about once in 2 ** SPARE / bits.
 SPARE = 6
 
@@ -282,23 +287,62 @@ def similar_links(nodes: DataFrame, bits: int, bands: int, similarity: float = S
     return links.union(verified(again)).union(_across(members, roots, nodes, slack, limit))
 
 
+def near_others(at: np.ndarray, fp: np.ndarray, comp: np.ndarray, slack: int) -> np.ndarray:
+    """Which members of the pieces that ``at`` bounds are within ``slack`` bits of one in the same piece and another component."""
+    out = np.zeros(len(fp), bool)
+    if not len(fp):
+        return out
+    fp, at = fp.view(np.uint64), at - at[0]
+    size = np.diff(at)
+    piece = np.repeat(np.arange(len(size)), size)
+    few = (size <= FEW)[piece]
+    for d in range(1, min(FEW, int(size.max()))):
+        k = np.flatnonzero((piece[d:] == piece[:-d]) & few[d:] & (comp[d:] != comp[:-d]))
+        k = k[np.bitwise_count(fp[k] ^ fp[k + d]) <= slack]
+        out[k] = out[k + d] = True
+    for lo, hi in zip(at[:-1][size > FEW], at[1:][size > FEW]):
+        for k in range(lo, hi - 1):
+            near = (np.bitwise_count(fp[k + 1 : hi] ^ fp[k]) <= slack) & (comp[k + 1 : hi] != comp[k])
+            if near.any():
+                out[k] = True
+                out[k + 1 : hi] |= near
+    return out
+
+
 def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, slack: int, limit: float) -> DataFrame:
     """Edges between similar ``members(key, fp)`` of a key that are in different components ``roots(node, root)``.
 
-    The members of a key are dealt into blocks, and each two blocks meet in a
-    cell of bounded size, so the pairs of a large key are many small tasks and are
-    never rows: a cell passes on members that are near another one in the
+    Strangers share a key in twos and threes; keys that more than ``FAMILY``
+    members share are those of a family of texts, whose members meet in many keys.
+    So a family, all that such keys connect, is compared once instead of once a
+    key. Members are dealt into blocks, and each two blocks meet in a
+    cell of bounded size: the pairs of a large family are many small tasks and are
+    never rows. A cell passes on members that are near another one in the
     first word, then links that hold on all words.
     """
     group = W.partitionBy("key")
     rest = members.join(roots.select(F.col("node").alias("fp"), F.col("root").alias("comp")), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    rest = rest.withColumn("lo", F.min("comp").over(group)).withColumn("hi", F.max("comp").over(group)).withColumn("n", F.count("*").over(group)).where("lo <> hi")
-    rest = rest.withColumn("blocks", F.ceil(F.col("n") / CELL).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    rest = rest.withColumn("lo", F.min("comp").over(group)).withColumn("hi", F.max("comp").over(group)).withColumn("n", F.count("*").over(group)).withColumn("least", F.min("fp").over(group))
+    rest = staged(rest.where("lo <> hi").drop("lo", "hi"), "simhash-rest")
+    large = rest.where(F.col("n") > FAMILY)
+    rest = rest.where(F.col("n") <= FAMILY).select("key", "fp", "comp")
+    if not large.isEmpty():
+        family = connected_components(large.select(F.col("fp").alias("src"), F.col("least").alias("dst")))
+        family = large.select("fp", "comp").distinct().join(family.withColumnRenamed("node", "fp"), "fp")
+        rest = rest.union(family.select(F.xxhash64(F.lit("family"), "root").alias("key"), "fp", "comp"))
+    rest = rest.withColumn("blocks", F.ceil(F.count("*").over(group) / CELL).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = rest.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("fp", "comp")).alias("all"))
-    meets = lambda x, y: (x["comp"] != y["comp"]) & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= slack)
-    cells = cells.withColumn("all", F.filter("all", lambda x: F.exists("all", lambda y: meets(x, y)))).where(F.size("all") > 0)
-    close = staged(cells.select("key", "i", "j", F.explode("all").alias("m")).select("key", "i", "j", "m.fp", "m.comp"), "simhash-close")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = b.column(3).offsets.to_numpy(), b.column(3).values
+            fp, comp = (rows.field(k).to_numpy() for k in (0, 1))
+            hit = np.flatnonzero(near_others(at, fp, comp, slack))
+            cell = pa.array(np.searchsorted(at, hit, side="right") - 1)
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(cell) for k in range(3)), pa.array(fp[hit]), pa.array(comp[hit])], ["key", "i", "j", "fp", "comp"])
+
+    close = staged(short_batches(cells).mapInArrow(pick, "key long, i int, j int, fp long, comp long"), "simhash-close")
     whole = close.join(nodes.select("fp", "words"), "fp").groupBy("key", "i", "j").agg(F.collect_list(F.struct("fp", "comp", "words")).alias("all"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,6 +373,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WID
     text are one document and become one row. Null and wordless texts are copies
     of each other. An empty table gives no rows.
     """
+    before = written()
     rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rank"), F.col("text").cast("binary").alias("text"))
     bits, bands = bands_for(docs.select("doc_id").count(), similarity, recall)
 
@@ -348,5 +393,6 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WID
     roots = connected_components(similar_links(first.select("fp", "words"), bits, bands, similarity))
     groups = first.select("fp", "first").join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     kept = staged(groups.select(F.col("first.doc_id").alias("_id"), F.col("first.rank").alias("_rank")), "kept")
+    release(written() - before - {kept._scratch_path})
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_rank"))
     return docs.drop("_id", "_rank").join(kept, same).dropDuplicates(["_id", "_rank"]).drop("_id", "_rank")

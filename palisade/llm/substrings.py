@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import short_batches, sliced, staged
+from palisade.llm.common import merged, short_batches, sliced
+from palisade.sources.scratch import staged
 
 #: Bytes of a string that may not repeat.
 LENGTH = 400
@@ -281,17 +282,6 @@ def _spans_of_windows(cut: DataFrame, length: int) -> DataFrame:
     return alone.mapInArrow(ranges, SPAN_SCHEMA).union(whole)
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of half-open ranges."""
-    out: list[list[int]] = []
-    for a, z in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], z)
-        else:
-            out.append([a, z])
-    return [(a, z) for a, z in out]
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE) -> DataFrame:
     """``(doc_id, rank, start, end)``: byte ranges of ``docs(doc_id, rank, bytes)`` covered by repeated strings.
 
@@ -313,7 +303,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int =
     input, overlaps count, and strings never cross documents.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept`` (binary, what remains,
-    joined) and ``spans`` (maximal removed runs, as byte offsets).
+    joined), ``kept_text`` (the same as text, without the parts of a character
+    that a cut has left) and ``spans`` (maximal removed runs, as byte offsets).
 
     A null text is an empty one. Rows are documents of their own even if they
     share a doc_id (null included); rows that share doc_id and text are copies
@@ -340,6 +331,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int =
                 sizes.append(len(t))
                 removed.append(len(t) - len(kept[-1]))
             counts = [pa.array(x, pa.int64()) for x in (sizes, removed, [len(r) for r in runs])]
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(kept, pa.binary()), pa.array(runs, kind)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
+            texts = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(kept, pa.binary()), texts, pa.array(runs, kind)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "spans"])
 
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:bigint,end:bigint>>")
+    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, spans array<struct<start:bigint,end:bigint>>")

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from palisade.llm import lines, simhash, substrings
+from palisade.llm import lines, passages, simhash, substrings
 from palisade.llm.common import connected_components
 from tests.llm.data import LONG, awkward, documents
 
@@ -179,6 +179,18 @@ def test_copies_within_a_family_go(spark, monkeypatch):
     assert len({i for i in texts if low[i] == i} & kept) > 145
 
 
+def test_near_others():
+    rng = random.Random(4)
+    sizes = [0, 1, 2, 5, 31, 32, 33, 70, 0]
+    at, n = np.cumsum([0, *sizes]), sum(sizes)
+    base = [rng.getrandbits(64) for _ in range(3)]
+    fp = [rng.choice(base) ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 9))) % 2**64 for _ in range(n)]
+    comp = [rng.randrange(6) for _ in range(n)]
+    want = [any((fp[i] ^ fp[j]).bit_count() <= 9 and comp[i] != comp[j] for a, z in zip(at, at[1:]) if a <= i < z for j in range(a, z)) for i in range(n)]
+    got = simhash.near_others(at, np.array(fp, np.uint64).view(np.int64), np.array(comp), 9)
+    assert got.tolist() == want and 0 < sum(want) < n
+
+
 def test_bands():
     assert simhash.bands_for(0) == (16, simhash.bands_for(100)[1])
     assert simhash.bands_for(10**9)[0] == 30 + simhash.SPARE and simhash.bands_for(10**9)[1] > simhash.bands_for(10**6)[1]
@@ -200,10 +212,97 @@ def plain_lines(rows):
     return out
 
 
+def plain_passages(rows, n):
+    """Words of each row that an equal run of n words covers which starts earlier; rows of one id and text count once."""
+    rank = lambda t: (lambda x: x - 2**64 if x >> 63 else x)(xxhash.xxh64_intdigest(t.encode(), 42))
+    order = sorted({(r[0] is None, r[0] or 0, rank(r[1]), r[0], r[1]) for r in rows if r[1] is not None}, key=lambda x: x[:3])
+    first, out = {}, {}
+    for k, (*_, i, t) in enumerate(order):
+        found = [(m.start(), m.end(), "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[0])) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        hit = [False] * len(found)
+        for p in range(len(found) - n + 1):
+            d, q = first.setdefault(tuple(w for *_, w in found[p : p + n]), (k, p))
+            if d != k or p >= q + n:
+                hit[p : p + n] = [True] * n
+        spans = []
+        for p, h in enumerate(hit):
+            if h and p and hit[p - 1]:
+                spans[-1][1] = found[p][1]
+            elif h:
+                spans.append([*found[p][:2]])
+        out[i, t] = [tuple(s) for s in spans]
+    return out
+
+
+def within(seed):
+    """Texts with passages that start and end within a line, copies, near copies and periodic texts."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdéX") for _ in range(rng.randint(1, 3)))
+    some = lambda a, z: [word() + rng.choice(["", "", "", "\n", ",\t "]) for _ in range(rng.randint(a, z))]
+    shared = [some(10, 40) for _ in range(5)]
+    out = []
+    for _ in range(60):
+        parts = [w for _ in range(rng.randint(0, 4)) for w in (rng.choice(shared) if rng.random() < 0.5 else some(0, 30))]
+        if out and rng.random() < 0.3:
+            parts = rng.choice(out).split(" ")
+            parts[rng.randrange(len(parts))] = word()
+        out.append(" ".join(parts))
+    return out + ["a b " * 60, "a b " * 59 + "c", "x " * 11, "x " * 12, "x\n" * 90, out[3], out[3], "  " + out[4].upper()]
+
+
+@pytest.mark.parametrize(("seed", "n", "large"), [(0, 12, 5000), (1, 9, 5000), (2, 12, 2), (3, 9, 1)])
+def test_passages(spark, seed, n, large, monkeypatch):
+    """Every word of a repeated run goes, and no other."""
+    monkeypatch.setattr(passages, "CHUNK", 50)
+    rows = [(i if i % 17 else None, t, "en", "s") for i, t in enumerate(within(seed), 1)]
+    docs = documents(spark, rows).select("doc_id", F.xxhash64("text").alias("rank"), F.col("text").cast("binary").alias("bytes"))
+    found, late = passages.repeated(docs, n, min(n, 8), large)
+    ranges, whole = {}, {(r.doc_id, r.rank) for r in late.collect()}
+    for r in found.collect():
+        ranges.setdefault((r.doc_id, r.rank), []).append((r["first"], r["last"]))
+    text = {(r.doc_id, r.rank): r.bytes.decode() for r in docs.collect()}
+    got = {(i, t): passages.spans(t, ranges.get((i, k), []), (i, k) in whole, n) for (i, k), t in text.items()}
+    want = plain_passages(rows, n)
+    assert got == {k: v for k, v in want.items()} and sum(map(len, want.values())) > 30
+
+
+def plain_cut(rows, n):
+    """Kept text, removed lines and passages of each (id, text), character by character."""
+    gone, again, out = plain_lines(rows), plain_passages(rows, n), {}
+    for (i, t), drop in gone.items():
+        if t is None:
+            continue
+        keep, at, parts = [True] * len(t), 0, t.split("\n")
+        for k, p in enumerate(parts):
+            if k in drop:
+                z = at + len(p)
+                tail = all(x in drop for x in range(k, len(parts)))
+                for c in range(max(0, at - 1) if tail else at, min(len(t), z if tail else z + 1)):
+                    keep[c] = False
+            at += len(p) + 1
+        for a, z in again[i, t]:
+            keep[a:z] = [False] * (z - a)
+        out[i, t] = "".join(c for c, k in zip(t, keep) if k), drop, again[i, t]
+    return out
+
+
+def test_lines_and_passages(spark):
+    """What both take away, on the whole text."""
+    rows = [*awkward(), *((100 + i, t, "en", "s") for i, t in enumerate(within(9)))]
+    want, seen = {i: (t, w) for (i, t), w in plain_cut(rows, 12).items() if sum(x[0] == i for x in rows) == 1}, 0
+    for r in lines.dedup(documents(spark, rows), passage=12).collect():
+        if r.doc_id in want:
+            t, (kept, drop, again) = want[r.doc_id]
+            assert r.kept_text == kept == "".join(t[s.start : s.start + s.length] for s in r.kept_spans)
+            assert r.n_removed == len(drop) and [(s.start, s.start + s.length) for s in r.passage_spans] == again and r.n_passages == len(again)
+            seen += 1
+    assert seen == len(want)
+
+
 def test_lines(spark):
     rows = [*awkward(), (50, "line two\nfresh", "en", "s"), (51, "fresh\r\nFRESH \n", "en", "s")]
     want = plain_lines(rows)
-    got = lines.dedup(documents(spark, rows)).collect()
+    got = lines.dedup(documents(spark, rows), passage=None).collect()
     assert len(got) == len(rows)
     by_id = {r.doc_id: r for r in got if sum(x[0] == r.doc_id for x in rows) == 1}
     for (i, t), gone in want.items():
@@ -213,7 +312,7 @@ def test_lines(spark):
             assert r.n_removed == len(gone) and r.n_units == len(parts)
             assert r.kept_text == (None if t is None else "\n".join(p for n, p in enumerate(parts) if n not in gone))
             assert [t[s.start : s.start + s.length] for s in r.removed_spans] == [parts[n] for n in gone]
-            assert [t[s.start : s.start + s.length] for s in r.kept_spans] == [p for n, p in enumerate(parts) if n not in gone]
+            assert "".join(t[s.start : s.start + s.length] for s in r.kept_spans) == (r.kept_text or "")
     assert lines.dedup(documents(spark, [])).count() == 0
     paragraphs = {r.doc_id: r.kept_text for r in lines.dedup(documents(spark, [(1, "a\nb\n\nc", "en", "s"), (2, "x\n\na\nb", "en", "s")]), "paragraph").collect()}
     assert paragraphs == {1: "a\nb\n\nc", 2: "x"}

@@ -13,7 +13,7 @@ import corpus_pipeline
 from palisade.llm import decontamination, mixing, tool_calls, wrappers
 from tests.llm.data import LONG, awkward, documents
 from tests.llm.test_corpus import size_of, spoken
-from tests.llm.test_dedup import plain_lines, similar
+from tests.llm.test_dedup import plain_cut, similar
 
 # --- wrappers ------------------------------------------------------------------
 
@@ -261,6 +261,8 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     shared = spoken(rng, "en", 60)
     rows += [(200 + i, f"{spoken(rng, 'en', 20)}\n{shared}\n{spoken(rng, 'en', 15)}", "en", "s1") for i in range(4)]
     rows += [(300 + i, rows[i][1], rows[i][2], "s2") for i in range(6)] + [(400 + i, f"{spoken(rng, 'en', 40)} {items[i][1]} {spoken(rng, 'en', 25)}", "en", "s3") for i in range(5)]
+    middle = spoken(rng, "en", 55)
+    rows += [(600 + i, f"{spoken(rng, 'en', 30)} {middle.upper() if i == 5 else middle} {spoken(rng, 'en', 45)}", "en", "s1") for i in range(7)]
     rows += [(500, None, "en", "s0"), (501, "", "en", "s0"), (502, "123 456", "en", None), (503, shared, None, None)]
     documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -279,12 +281,9 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for i in sorted(left):
         first.setdefault(root[i], i)
     assert set(kept["near_duplicates"]) == set(first.values()) and not set(range(300, 306)) & set(first.values())
-    lines = plain_lines([(i, at[i]) for i in first.values()])
-    want = {}
-    for (i, t), gone in lines.items():
-        text = "\n".join(p for n, p in enumerate(t.split("\n")) if n not in gone)
-        if not gone or text.strip():
-            want[i] = text
+    cuts = plain_cut([(i, at[i]) for i in first.values()], 51)
+    want = {i: text for (i, _), (text, drop, again) in cuts.items() if text.strip() or not (drop or again)}
+    assert sum(middle in t for t in want.values()) == 1 and sum(bool(again) for _, _, again in cuts.values()) == 10
     assert {i: r.text for i, r in kept["substring_dedup"].items()} == want and 503 not in want and sum(shared in t for t in want.values()) == 1
     assert all(r.n_chars == len(r.text) for r in kept["substring_dedup"].values())
     assert set(kept["benchmark_decontamination"]) == set(want) - set(range(400, 405))
