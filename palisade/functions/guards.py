@@ -81,17 +81,20 @@ def hallucination(output: Column, context: Column, threshold: Column | float = 0
     def split(known: Column) -> Column:
         def parts(all_claims: Column) -> Column:
             some = F.size(context) > 0
-            good = F.filter(all_claims, lambda c: some & is_grounded(c, known))
-            bad = F.filter(all_claims, lambda c: ~(some & is_grounded(c, known)))
+            # the passages' tokens are many: they are looked through once, for those of all claims
+            own = F.array_distinct(F.flatten(F.transform(all_claims, text.token_set)))
+            marked = let(F.array_intersect(own, known), lambda hit: F.transform(all_claims, lambda c: some & is_grounded(c, hit)))
+            good = lambda ok: F.filter(all_claims, lambda c, i: F.get(ok, i))
+            bad = lambda ok: F.filter(all_claims, lambda c, i: ~F.get(ok, i))
 
-            def scored(u: Column) -> Column:
+            def scored(u: Column, g: Column) -> Column:
                 score = F.when(F.size(all_claims) == 0, F.lit(0.0)).otherwise(F.bround(F.size(u) / F.size(all_claims), 4))
                 return let(score, lambda s: F.struct(
-                    s.alias("score"), good.alias("grounded_claims"), u.alias("ungrounded_claims"), verdict(s, threshold).alias("verdict"),
+                    s.alias("score"), g.alias("grounded_claims"), u.alias("ungrounded_claims"), verdict(s, threshold).alias("verdict"),
                     F.size(u).cast("long").alias("n_ungrounded"), F.size(all_claims).cast("long").alias("n_claims"),
                 ))
 
-            return let(bad, scored)
+            return let(marked, lambda ok: let(bad(ok), lambda u: scored(u, good(ok))))
 
         return let(claims(output), parts)
 

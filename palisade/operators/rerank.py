@@ -23,19 +23,21 @@ def lexical(queries: DataFrame, candidates: DataFrame, top_k: int = 3) -> DataFr
     """Rerank ``candidates(query_id, rank, content, ...)`` by tf over length times ln(1 + 1 / df).
 
     df counts the query's candidates that have the term. Scores have six digits;
-    candidates that score nothing are left out; ties keep their former rank.
-    Exchanges are keyed by query and by query and candidate: each group is one
-    candidate list.
+    candidates without a term are left out; ties keep their former rank.
+    A passage is tokenised once, however many queries it is a candidate of, and
+    what meets the queries' terms is its counts. Exchanges after that are keyed
+    by query and by query and candidate: each group is one candidate list.
     """
-    own = candidates.withColumnRenamed("rank", "old_rank").drop("score")
-    bags = own.select("query_id", "old_rank", text.content_tokens(F.col("content")).alias("bag"))
-    words = bags.select("query_id", "old_rank", F.size("bag").alias("n"), F.explode("bag").alias("token"))
-    tf = words.join(query_terms(queries), ["query_id", "token"]).groupBy("query_id", "old_rank", "token").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    own = candidates.withColumnRenamed("rank", "old_rank").drop("score").withColumn("_passage", F.xxhash64("content"))
+    passages = own.groupBy("_passage").agg(F.first("content").alias("content")).select("_passage", text.content_tokens(F.col("content")).alias("bag"))
+    counts = passages.select("_passage", F.size("bag").alias("n"), F.explode("bag").alias("token")).groupBy("_passage", "token").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    wanted = own.select("query_id", "old_rank", "_passage").join(query_terms(queries).drop("n_terms"), "query_id")
+    tf = wanted.hint("merge").join(counts, ["_passage", "token"])
     df = F.count("*").over(W.partitionBy("query_id", "token"))
     parts = tf.withColumn("part", F.col("tf") / F.col("n") * F.log1p(F.lit(1.0) / df))
-    scores = parts.groupBy("query_id", "old_rank").agg(F.bround(F.sum("part"), 6).alias("score")).where("score > 0")
+    scores = parts.groupBy("query_id", "old_rank").agg(F.bround(F.sum("part"), 6).alias("score"))
     best = ranked(scores, top_k, [F.col("score").desc(), F.col("old_rank").asc()])
-    return best.join(own, ["query_id", "old_rank"])
+    return best.join(own.drop("_passage"), ["query_id", "old_rank"])
 
 
 def reciprocal_rank_fusion(lists: Sequence[DataFrame], top_k: int = 3, k: int = RRF_K, fetch_k: int = FETCH_K, candidates: DataFrame | None = None) -> DataFrame:

@@ -122,14 +122,14 @@ bags AS (SELECT doc_id AS ordinal, source, text AS content, {_tokens('text')} AS
 idx AS (SELECT ordinal, unnest(list_distinct(bag)) AS token FROM bags),
 scores AS (
   SELECT query_id, ordinal, count(*) AS hits, n_terms, round_even(count(*) / n_terms, 4) AS score FROM terms JOIN idx USING (token) GROUP BY query_id, ordinal, n_terms),
-placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal) AS rank FROM scores WHERE score > 0)"""
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal) AS rank FROM scores)"""
 LEXICAL = f"""{SCORES},
 words AS (SELECT query_id, rank AS old_rank, ordinal, len(bag) AS n, unnest(bag) AS token FROM placed JOIN bags USING (ordinal) WHERE rank <= 10),
 tf AS (SELECT query_id, old_rank, ordinal, token, count(*) AS tf, any_value(n) AS n FROM words JOIN terms USING (query_id, token) GROUP BY query_id, old_rank, ordinal, token),
 parts AS (SELECT *, tf / n * ln(1 + 1.0::DOUBLE / count(*) OVER (PARTITION BY query_id, token)) AS part FROM tf),
 lexical AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old_rank) AS rank
-  FROM (SELECT query_id, old_rank, ordinal, round(sum(part), 6) AS score FROM parts GROUP BY ALL) WHERE score > 0)"""
+  FROM (SELECT query_id, old_rank, ordinal, round(sum(part), 6) AS score FROM parts GROUP BY ALL))"""
 
 # --- grounding --------------------------------------------------------------------
 

@@ -58,7 +58,8 @@ def retrieved(checked: DataFrame, corpus: DataFrame, top_k: int, retriever: Call
     """The safe rows of ``checked``, with ``safe_query`` and ``sources``."""
     safe = checked.where("input.is_safe").withColumn("safe_query", F.col("input.sanitized_text"))
     found = gathered(retriever(safe.select("query_id", F.col("safe_query").alias("query")), corpus, top_k))
-    return safe.join(found, "query_id", "left").withColumn("sources", F.coalesce("sources", F.array().cast(SOURCES)))
+    # gathered passages are far more than the planner knows: never a broadcast
+    return safe.join(found.hint("merge"), "query_id", "left").withColumn("sources", F.coalesce("sources", F.array().cast(SOURCES)))
 
 
 def judged(drafted: DataFrame, settings: Settings) -> DataFrame:

@@ -10,6 +10,7 @@ from palisade.operators import memory, rerank, retrieval
 from palisade.plans import rag
 from palisade.settings import Settings
 from palisade.sources.corpus import chunks
+from palisade.sources.scratch import staged
 
 SETTINGS = Settings()
 WINDOW = 2
@@ -64,7 +65,7 @@ def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded answers with the passages retrieved for their questions."""
     rows = turns(spark, sf_dir).where("recorded is not null")
     found = rag.gathered(retrieval.overlap_topk(rows.select("query_id", F.col("text").alias("query")), documents(spark, sf_dir), 5))
-    return rows.join(found, "query_id", "left").withColumn("context", F.coalesce(F.transform("sources", lambda s: s["content"]), F.array().cast("array<string>")))
+    return rows.join(found.hint("merge"), "query_id", "left").withColumn("context", F.coalesce(F.transform("sources", lambda s: s["content"]), F.array().cast("array<string>")))
 
 
 def _joined(c: Column, sep: str = "|") -> Column:
@@ -129,8 +130,7 @@ def input_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    best = retrieval.ranked(retrieval.overlap_scores(_asked(spark, sf_dir), docs).where("score > 0"), 5)
+    best = retrieval.overlap_best(_asked(spark, sf_dir), documents(spark, sf_dir), 5)
     return best.select("query_id", F.col("rank").cast("long").alias("rank"), "ordinal", "hits", "n_terms", "score")
 
 
@@ -142,7 +142,7 @@ def lexical_rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, docs = _asked(spark, sf_dir), documents(spark, sf_dir)
-    by_overlap = retrieval.overlap_topk(asked, docs, 10)
+    by_overlap = staged(retrieval.overlap_topk(asked, docs, 10), "by-overlap")
     by_terms = rerank.lexical(asked, by_overlap, 10)
     out = rerank.reciprocal_rank_fusion([by_overlap, by_terms], 3, candidates=by_overlap)
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), F.md5("content").alias("content_md5"), "source", "score")

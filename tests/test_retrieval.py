@@ -1,6 +1,7 @@
 """Retrieval, reranking, embeddings and payloads on hand-worked corpora."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,8 +35,36 @@ def test_overlap(spark, chunks):
         retrieval.overlap_topk(asked(spark, "alpha"), chunks, -1)
 
 
+@pytest.mark.parametrize(("block", "most"), [(4096, 64), (3, 64), (4096, 0)])
+def test_overlap_against_brute_force(spark, monkeypatch, block, most):
+    """In one block of queries, in many, and by the join; with repeated rows, clashing columns, nulls and texts of no token."""
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+    monkeypatch.setattr(retrieval, "MOST_BLOCKS", most)
+    monkeypatch.setattr(retrieval, "PASSAGES", 5)
+    monkeypatch.setattr(retrieval, "HELD", 1)
+    rng = random.Random(block + most)
+    words = [f"w{n}x" for n in range(12)] + ["the", "ab"]
+    some = lambda: " ".join(rng.choices(words, k=rng.randint(0, 9)))
+    rows = [(n, some(), "s", 9, 0.5, "x") for n in range(40)] + [(None, "w1x", "s", 9, 0.5, "x"), (41, None, "s", 9, 0.5, "x")]
+    rows += [rows[3], rows[3], (3, rows[4][1], "s", 9, 0.5, "x")]
+    corpus = spark.createDataFrame(rows, "ordinal long, content string, source string, rank int, score double, query_id string").repartition(3)
+    questions = [f"{some()} {some()}" for _ in range(10)] + ["", None]
+    tokens = lambda t: {w for w in (t or "").split() if w.startswith("w")}
+    want = []
+    for n, q in enumerate(questions):
+        own = tokens(q)
+        found = sorted((-round(len(own & tokens(c)) / len(own), 4), o, c) for o, c, *_ in rows if o is not None and c is not None and own & tokens(c)) if own else []
+        # of rows alike in ordinal, the hash of the content decides
+        want += [(n, r, -s, o) for r, (s, o, _) in enumerate(found[:4], 1)]
+    out = retrieval.overlap_topk(asked(spark, *questions), corpus, 4)
+    got = [(r.query_id, r["rank"], r.score, r.ordinal) for r in out.collect()]
+    assert sorted(got) == want and len(want) > 25
+    assert sorted(out.columns) == sorted(["query_id", "rank", "ordinal", "hits", "n_terms", "score", "content", "source"])
+    assert retrieval.overlap_topk(asked(spark, "w1x"), corpus.limit(0)).count() == 0
+
+
 def test_overlap_plan_has_no_cross_join(spark, chunks):
-    plan = retrieval.overlap_topk(asked(spark, "alpha beta"), chunks)._jdf.queryExecution().executedPlan().toString()
+    plan = retrieval.overlap_best(asked(spark, "alpha beta"), chunks)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "WindowGroupLimit" in plan
 
 
