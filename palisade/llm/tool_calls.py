@@ -12,8 +12,10 @@ so a conversation with a third of all calls is spread over many tasks.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 from typing import Any
 
 import pyarrow as pa
@@ -36,30 +38,76 @@ KINDS = {
 }
 
 
+def _escaped(text: str) -> str:
+    """``text`` with lone surrogates, which UTF-8 cannot hold, as escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _text(value: str) -> str:
+    return _escaped(json.dumps(value, ensure_ascii=False))
+
+
+def _number(value: float) -> str:
+    """The shortest digits that read back as the number, with exponents as ECMAScript writes them."""
+    if value == 0:
+        return "0"
+    digits, _, exponent = f"{Decimal(repr(value)):e}".partition("e")
+    sign, digits = ("-", digits[1:]) if digits[0] == "-" else ("", digits)
+    digits, at = digits.replace(".", "").rstrip("0"), int(exponent) + 1  # the point comes after ``at`` digits
+    if len(digits) <= at <= 21:
+        return sign + digits + "0" * (at - len(digits))
+    if 0 < at <= 21:
+        return f"{sign}{digits[:at]}.{digits[at:]}"
+    if -6 < at <= 0:
+        return f"{sign}0.{'0' * -at}{digits}"
+    return f"{sign}{digits[0]}{'.' + digits[1:] if digits[1:] else ''}e{at - 1:+d}"
+
+
 def canonical(value: Any) -> str:
-    """JSON with keys in UTF-16 order, no white space, shortest numbers and no needless escapes."""
+    """JSON with keys in UTF-16 order, no white space, shortest numbers and no needless escapes; integers keep all digits."""
     if isinstance(value, dict):
         keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(value[k])}" for k in keys) + "}"
+        return "{" + ",".join(f"{_text(k)}:{canonical(value[k])}" for k in keys) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
-    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
-        return str(int(value))
-    return json.dumps(value, ensure_ascii=False)
+    if isinstance(value, str):
+        return _text(value)
+    return _number(value) if isinstance(value, float) else json.dumps(value)
+
+
+class TooDeep(ValueError):
+    """JSON that is nested too deeply to be read."""
 
 
 def _no_constant(name: str) -> None:
     raise ValueError(name)
 
 
+def _finite(digits: str) -> float:
+    if not math.isfinite(value := float(digits)):
+        raise ValueError(digits)
+    return value
+
+
 def parse(text: str | None) -> Any:
-    """The value of a JSON text; NaN, Infinity and broken text raise ValueError."""
+    """The value of a JSON text; NaN, Infinity, numbers beyond a double's range, and broken text raise ValueError."""
     if text is None:
         raise ValueError("null")
     try:
-        return json.loads(text, parse_constant=_no_constant)
+        return json.loads(text, parse_constant=_no_constant, parse_float=_finite)
     except RecursionError as e:
-        raise ValueError("nested too deeply") from e
+        raise TooDeep from e
+
+
+def _same(a: Any, b: Any) -> bool:
+    """Equal as JSON values: a boolean is no number."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    return a == b
 
 
 def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
@@ -69,7 +117,7 @@ def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
         kinds = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
         if not any(KINDS[k](value) for k in kinds):
             return [f"{at}: not {'/'.join(kinds)}"]
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]):
         out.append(f"{at}: not in enum")
     if isinstance(value, dict):
         own = schema.get("properties", {})
@@ -98,7 +146,8 @@ def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
 def check(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """Adds ``valid``, ``errors`` and ``canonical`` to calls with ``call_id, name, arguments``.
 
-    ``canonical`` is the call as canonical JSON; null if the arguments are no JSON.
+    ``canonical`` is the call as canonical JSON; null if the arguments are no
+    JSON, or are nested too deeply to be read. A lone surrogate stays escaped.
     """
     rows = calls.drop("valid", "errors", "canonical")
     i, n, a = (rows.columns.index(c) for c in ("call_id", "name", "arguments"))
@@ -112,15 +161,15 @@ def check(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             for call_id, name, text in zip(*(b.column(k).to_pylist() for k in (i, n, a))):
                 try:
                     value = parse(text)
+                    found = violations(value, schemas[name]) if name in schemas else ["unknown tool"]
+                    whole = canonical({"arguments": value, "id": call_id, "name": name})
+                except (TooDeep, RecursionError):
+                    found, whole = ["$: nested too deeply"], None
                 except ValueError:
-                    valid.append(False)
-                    errors.append(["$: no JSON"])
-                    texts.append(None)
-                    continue
-                found = violations(value, schemas[name]) if name in schemas else ["unknown tool"]
+                    found, whole = ["$: no JSON"], None
                 valid.append(not found)
-                errors.append(found)
-                texts.append(canonical({"arguments": value, "id": call_id, "name": name}))
+                errors.append(list(map(_escaped, found)))
+                texts.append(whole)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(valid, pa.bool_()), pa.array(errors, pa.list_(pa.string())), pa.array(texts, pa.string())], [*b.schema.names, "valid", "errors", "canonical"])
 
     return rows.mapInArrow(run, schema)

@@ -182,6 +182,20 @@ def test_candidates_recall(spark):
 # --- tool calls --------------------------------------------------------------------
 
 
+def test_no_arguments_stop_a_job(spark):
+    """Broken, deep, huge and odd JSON has a defined result."""
+    deep, wide = "[" * 3000 + "]" * 3000, '{"x":' * 5000 + "1" + "}" * 5000
+    texts = ['{"x":"\\ud800"}', deep, wide, '{"x":1e400}', '{"x":-1e400}', '{"x":1e-7,"y":1E21,"z":-0.0,"w":100.0}', '{"x":true}', "", None, '{"\\udfff":2}', '{"x":1' + "0" * 4000 + "}"]
+    calls = spark.createDataFrame([(str(i), "f", t) for i, t in enumerate(texts)], "call_id string, name string, arguments string")
+    schema = {"f": {"type": "object", "properties": {"x": {"enum": [1, "\ud800"]}, "y": {}, "z": {}, "w": {}}, "additionalProperties": False}}
+    out = {int(r.call_id): r for r in tool_calls.check(calls, schema).collect()}
+    assert len(out) == len(texts) and out[0].canonical == '{"arguments":{"x":"\\ud800"},"id":"0","name":"f"}' and out[0].valid
+    assert all(out[i].canonical is None and out[i].errors == ["$: nested too deeply"] for i in (1, 2))
+    assert all(out[i].canonical is None and out[i].errors == ["$: no JSON"] for i in (3, 4, 7, 8))
+    assert out[5].canonical.startswith('{"arguments":{"w":100,"x":1e-7,"y":1e+21,"z":0}')
+    assert out[6].errors == ["$.x: not in enum"] and out[9].errors == ["$.\\udfff: unknown"] and not out[10].valid
+
+
 def test_canonical():
     value = {"b": [1.0, 2.5, -0.0, 1e21, True, None], "a": {"é": " \n\"", "😀": 1, "דּ": 2}, "": "x"}
     text = tool_calls.canonical(value)
