@@ -112,7 +112,8 @@ def cut(docs: DataFrame, unit: str = "line", passage: int | None = WORDS) -> Dat
 
 def _marked(docs: DataFrame, unit: str, passage: int | None) -> DataFrame:
     """``docs`` with what to remove as the last column, ``_removed``: numbers of units, ranges of passage windows, and whether all of them go."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("rank"), F.col("text").cast("binary").alias("bytes"))
+    docs = docs.withColumn("_row", F.xxhash64("text"))
+    rows = docs.select("doc_id", F.col("_row").alias("rank"), "text")
     none, window = F.lit(None), "struct<first:bigint,last:bigint>"
     lines = repeats(units(docs.select("doc_id", "text"), unit)).select("doc_id", "rank", F.col("n").cast("int").alias("n"), none.cast(window).alias("w"), F.lit(False).alias("whole"))
     if passage is not None:
@@ -121,8 +122,9 @@ def _marked(docs: DataFrame, unit: str, passage: int | None) -> DataFrame:
         lines = lines.unionByName(late.select("doc_id", "rank", none.cast("int").alias("n"), none.cast(window).alias("w"), F.lit(True).alias("whole")))
     gone = lines.groupBy("doc_id", "rank").agg(F.struct(F.collect_set("n").alias("n"), F.collect_set("w").alias("w"), F.max("whole").alias("whole")).alias("_removed"))
     gone = gone.withColumnsRenamed({"doc_id": "_id", "rank": "_rank"})
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_rank"))
-    return docs.drop("_id", "_rank", "_removed").join(gone, same, "left").drop("_id", "_rank")
+    # joined on the keys that the passages' texts are read by, so that Spark shuffles a table of ids and texts once
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_rank"))
+    return docs.drop("_id", "_rank", "_removed").join(gone, same, "left").drop("_id", "_rank", "_row")
 
 
 def _cut(text: str | None, marks: dict | None, sep: str, n: int) -> tuple:

@@ -10,7 +10,7 @@ windows whose anchor's hash occurs more than once are looked at:
 3. digest the windows of repeated anchors, one row an anchor;
 4. bring equal anchor hashes together and keep each digest's earliest window.
 
-Anchors that more than ``LARGE`` rows share are not gathered: their windows are
+Hashes with more than ``LARGE`` windows are not gathered: their windows are
 reduced to the earliest one by partial aggregation. Copies of a whole text
 repeat wherever their first copy does not, so they skip all this.
 """
@@ -32,8 +32,8 @@ from palisade.sources.scratch import staged
 WORDS = 51
 #: Words that are hashed at an anchor.
 GRAM = 8
-#: Anchors of one hash that are brought together at most: about 20 MB, since an anchor has 44 windows at most.
-LARGE = 50_000
+#: Windows of one anchor hash that are brought together at most, about 30 MB.
+LARGE = 2_000_000
 #: Words that are looked at in one go; longer texts are read in overlapping pieces.
 PIECE = 1 << 20
 #: Rows and windows that are compared in one go.
@@ -85,7 +85,10 @@ def runs(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchors(h: np.ndarray, n: int = WORDS, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(hash, first window, last window)`` of each anchor of a text's word hashes; windows are named by their first word."""
+    """``(hash, first window, last window)`` of each anchor of a text's word hashes; windows are named by their first word.
+
+    Anchors of one hash that follow each other, as in a text that repeats a word, are one.
+    """
     out: list[list[np.ndarray]] = [[], [], []]
     for lo in range(0, max(0, len(h) - n + 1), PIECE - n + 1):
         grams = runs(h[lo : lo + PIECE], gram)
@@ -95,9 +98,9 @@ def anchors(h: np.ndarray, n: int = WORDS, gram: int = GRAM) -> tuple[np.ndarray
             low, width = np.minimum(low[:-width], low[width:]), width * 2
         if width < span:
             low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-        at = (low & _PLACE).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        for o, x in zip(out, (grams[at[first]].view(np.int64), first + lo, np.r_[first[1:], len(at)] - 1 + lo)):
+        own = grams[(low & _PLACE).astype(np.int64)]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        for o, x in zip(out, (own[first].view(np.int64), first + lo, np.r_[first[1:], len(own)] - 1 + lo)):
             o.append(x)
     return tuple(np.concatenate(o) if o else np.empty(0, np.int64) for o in out)  # type: ignore[return-value]
 
@@ -109,7 +112,7 @@ def order(prefix: str = "") -> list[Column]:
 
 def copies(rows: DataFrame) -> DataFrame:
     """``(doc_id, rank)`` of the rows whose whole text an earlier row has; ``rank`` is a hash of the text."""
-    own = rows.where("bytes is not null").select("doc_id", "rank", F.unhex(F.md5("bytes")).alias("digest"))
+    own = rows.where("text is not null").select("doc_id", "rank", F.unhex(F.md5("text")).alias("digest"))
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id")
     first = own.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("times"))
     return common_keys(own, staged(first, "first-copies"), "digest").where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).select("doc_id", "rank")
@@ -121,14 +124,14 @@ def _anchors_of(rows: DataFrame, n: int, gram: int) -> DataFrame:
         for b in sliced(batches):
             ids, found = [], [[np.empty(0, np.int64)] for _ in range(3)]
             for i, t in enumerate(b.column(2)):
-                own = anchors(words(t.as_py())[2], n, gram)
+                own = anchors(words(t.as_py().encode())[2], n, gram)
                 ids += [i] * len(own[0])
                 for f, x in zip(found, own):
                     f.append(x)
             take = pa.array(ids, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array(np.concatenate(f), pa.int64()) for f in found)], names)
 
-    long = rows.where(F.octet_length("bytes") >= 2 * n - 1).select("doc_id", "rank", "bytes")
+    long = rows.where(F.octet_length("text") >= 2 * n - 1).select("doc_id", "rank", "text")
     return long.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, rank long, h long, first long, last long")
 
 
@@ -138,14 +141,14 @@ def _windows(rows: DataFrame, wanted: DataFrame, late: DataFrame, n: int) -> Dat
     gone = late.withColumnsRenamed({"doc_id": "i", "rank": "r"})
     per_doc = per_doc.join(gone, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("rank") == F.col("r")), "left_anti")
     per_doc = per_doc.withColumnsRenamed({"doc_id": "i", "rank": "r"})
-    both = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("rank") == F.col("r"))).select("doc_id", "rank", "bytes", "found")
+    both = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("rank") == F.col("r"))).select("doc_id", "rank", "text", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "doc_id", "rank", "first", "digests"]
         for b in sliced(batches):
             for i in range(b.num_rows):
                 found = b.column(3)[i].as_py()
-                digests = runs(words(b.column(2)[i].as_py())[2], n).view(np.int64)
+                digests = runs(words(b.column(2)[i].as_py().encode())[2], n).view(np.int64)
                 for k in range(0, len(found), 2000):
                     part = found[k : k + 2000]
                     take = pa.array([i] * len(part), pa.int64())
@@ -229,7 +232,7 @@ def _large(found: DataFrame, n: int) -> DataFrame:
 
 
 def repeated(rows: DataFrame, n: int = WORDS, gram: int = GRAM, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
-    """What of ``rows(doc_id, rank, bytes)`` occurred earlier, as ranges of windows and as whole copies.
+    """What of ``rows(doc_id, rank, text)`` occurred earlier, as ranges of windows and as whole copies.
 
     A window of ``n`` words counts as repeated if an equal one starts in an
     earlier row (doc_id, null last, then rank), or at least ``n`` words earlier in
@@ -239,10 +242,12 @@ def repeated(rows: DataFrame, n: int = WORDS, gram: int = GRAM, large: int = LAR
     of repeated ones in texts that are no later copy, and ``(doc_id, rank)`` of
     the later copies. Null texts have no words.
     """
-    rows = rows.where("bytes is not null")
     late = staged(copies(rows), "copies")
     found = staged(_anchors_of(rows, n, gram), "passage-anchors")
-    often = staged(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "passage-counts")
+    windows = F.col("last") - F.col("first") + 1
+    # a single anchor that has few windows cannot repeat itself
+    often = found.groupBy("h").agg(F.sum(windows).alias("n"), F.count("*").alias("rows"), F.max(windows).alias("most")).where((F.col("rows") > 1) | (F.col("most") > n))
+    often = staged(often.select("h", "n"), "passage-counts")
     most = often.agg(F.max("n")).first()[0] or 0
     out = _small(_windows(rows, found.join(often.where(F.col("n") <= large).drop("n"), "h"), late, n), n)
     if most > large:
