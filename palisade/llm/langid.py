@@ -35,6 +35,8 @@ HASHES = 3
 #: Filter positions for each stored n-gram.
 ROOM = 12
 UNKNOWN = "und"
+#: N-grams that a worker holds before it counts them.
+HELD = 1 << 22
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -160,16 +162,26 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Filt
     picked = picked.select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found: dict[tuple[str, int], list[np.ndarray]] = {}
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for n, h in grams(text).items():
-                    found.setdefault((lang, n), []).append(h)
+        found: dict[tuple[str, int], list[np.ndarray]] = {}
+        held = 0
+
+        def summed() -> Iterator[pa.RecordBatch]:
             for (lang, n), parts in found.items():
                 h, c = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(h), pa.string()), pa.array([n] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["lang", "n", "h", "c"]
                 )
+            found.clear()
+
+        for b in sliced(batches):
+            for lang, text in zip(b.column(0), b.column(1)):
+                for n, h in grams(text.as_py()).items():
+                    found.setdefault((lang.as_py(), n), []).append(h)
+                    held += len(h)
+                if held > HELD:
+                    yield from summed()
+                    held = 0
+        yield from summed()
 
     counts = picked.mapInArrow(count, "lang string, n int, h long, c long").groupBy("lang", "n", "h").agg(F.sum("c").alias("c"))
     counts = staged(counts, "grams")

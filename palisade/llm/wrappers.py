@@ -66,13 +66,14 @@ ASIDE_WORDS = frozenset(
 #: Words of class, id or role that still leave an article or body element alone.
 COMMENT_WORDS = frozenset("comment comments reply replies related recommended teaser ad ads advert advertisement sponsored promo".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+_REST = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
+_TOKEN = re.compile(_REST + r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: The same for tags with a quote that is never closed: they end at the first ``>``.
+_PLAIN = re.compile(_REST + r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: Elements deeper than this are not told from the one at that depth.
+DEPTH = 512
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 _WORDS = re.compile(r"[a-z]+")
 _TEXT_BLOCK = re.compile(r"(p|h\d|li|ul|ol|blockquote|pre|dl|dd|dt|figure|figcaption|t[dhr]|tbody|table)\b")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -94,48 +95,69 @@ def label(tag: str, attributes: str) -> str:
     return tag + own + ("*" if marked else "")
 
 
+def next_tag(page: str, at: int, last: int, pattern: re.Pattern[str]) -> tuple[re.Match[str] | None, re.Pattern[str]]:
+    """The next tag, comment or declaration from ``at`` on, and the pattern to go on with; ``last`` is the place of the last ``>``.
+
+    A whole page takes time that grows with its length: the pattern in which quotes
+    pair up fails once at most.
+    """
+    while (at := page.find("<", at)) >= 0:
+        if at <= last or page.startswith(("<!--", "<![CDATA["), at):
+            if m := pattern.match(page, at):
+                return m, pattern
+            if pattern is _TOKEN and (m := _PLAIN.match(page, at)):
+                return m, _PLAIN
+        at += 1
+    return None, pattern
+
+
 def stream(page: str | None) -> Iterator[tuple[str, str, str]]:
     """Well-formed tokens ``(kind, name, text)``: ``<`` and ``>`` with a label, ``#`` with a path and its text.
 
     Only block elements open and close; elements within a line vanish, except
     that a line break is white space. Left out elements that are no blocks
-    (such as a span of an advert) count as blocks.
+    (such as a span of an advert) count as blocks. A tag whose quotes are not
+    closed ends at the next ``>``, a ``<`` that starts no tag is text, and
+    elements nested deeper than ``DEPTH`` belong to the one at that depth.
     """
     page = page or ""
-    open_: list[tuple[str, str]] = []  # tag, label
+    open_: list[tuple[str, str, str]] = []  # tag, label, path
+    deeper: Counter = Counter()
     path = ""
-    inline_out = 0
     at = 0
 
     def ends(n: int) -> Iterator[tuple[str, str, str]]:
         nonlocal path
         while len(open_) > n:
             yield ">", open_.pop()[1], ""
-        path = "/".join(x[1] for x in open_)
+        path = open_[-1][2] if open_ else ""
 
+    last, pattern = page.rfind(">"), _TOKEN
     while True:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text:
+        m, pattern = next_tag(page, at, last, pattern)
+        if text := page[at : m.start() if m else len(page)]:
             yield "#", path, entities.unescape(text)
         if not m:
             break
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
-        if m[1] or m[4]:
+        if m[1]:
             if tag == "br":
                 yield "#", path, " "
+            if deeper[tag]:
+                deeper[tag] -= 1
+                continue
             for n in range(len(open_) - 1, -1, -1):
                 if open_[n][0] == tag:
                     yield from ends(n)
                     break
             continue
-        attributes = m[3] or m[6] or ""
+        attributes = m[3] or ""
         if tag in RAW:
             if not attributes.endswith("/") or tag not in ("svg", "math"):
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                close = _CLOSE[tag].search(page, at)
                 at = close.end() if close else len(page)
             continue
         if tag in VOID:
@@ -162,8 +184,12 @@ def stream(page: str | None) -> Iterator[tuple[str, str, str]]:
                     first = n
             if first is not None:
                 yield from ends(first)
-        open_.append((tag, name))
-        path = "/".join(x[1] for x in open_)
+        if len(open_) == DEPTH:
+            deeper[tag] += 1
+            yield "#", path, " "
+            continue
+        path = f"{path}/{name}" if path else name
+        open_.append((tag, name, path))
         yield "<", name, ""
     yield from ends(0)
 

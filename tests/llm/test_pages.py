@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 import re
 
 import numpy as np
@@ -182,6 +183,20 @@ def test_candidates_recall(spark):
 # --- tool calls --------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a ">' * 200_001, "<div>" * 200_000, "<ul><li>" * 100_000, "</div>" * 150_000, "<" * 1_000_000, "<p>x" * 200_000])
+def test_hostile_pages_take_time_by_their_length(page):
+    began = time.process_time()
+    assert sum(1 for _ in wrappers.stream(page)) < 2_000_000 and time.process_time() - began < 5
+
+
+def test_deep_and_broken_tags():
+    read = lambda page: "".join(f"<{x}>" if k == "<" else f"</{x}>" if k == ">" else t for k, x, t in wrappers.stream(page))
+    assert read('<p>a<p x="1>b</p>c') == "<p>a</p><p>b</p>c" and read("a < b <p>c") == "a < b <p>c</p>"
+    assert read("<script>if (a) '<!--' </script><p>b</p>") == "<p>b</p>" and read("<p>a<!-- b") == "<p>a</p>"
+    deep = read("<div>" * 600 + "x" + "</div>" * 600 + "<p>y</p>")
+    assert deep.count("<div>") == wrappers.DEPTH == deep.count("</div>") and deep.endswith("</div><p>y</p>")
+
+
 def test_no_arguments_stop_a_job(spark):
     """Broken, deep, huge and odd JSON has a defined result."""
     deep, wide = "[" * 3000 + "]" * 3000, '{"x":' * 5000 + "1" + "}" * 5000
