@@ -327,7 +327,9 @@ def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, slack: int,
     large = rest.where(F.col("n") > FAMILY)
     rest = rest.where(F.col("n") <= FAMILY).select("key", "fp", "comp")
     if not large.isEmpty():
-        family = connected_components(large.select(F.col("fp").alias("src"), F.col("least").alias("dst")))
+        # a member goes to the least of its keys' least, as do those; so it has one edge, however many keys it is in
+        tied = large.select("fp", "least", F.min("least").over(W.partitionBy("fp")).alias("dst"))
+        family = connected_components(tied.select(F.col("fp").alias("src"), "dst").distinct().union(tied.select(F.col("least").alias("src"), "dst").distinct()))
         family = large.select("fp", "comp").distinct().join(family.withColumnRenamed("node", "fp"), "fp")
         rest = rest.union(family.select(F.xxhash64(F.lit("family"), "root").alias("key"), "fp", "comp"))
     rest = rest.withColumn("blocks", F.ceil(F.count("*").over(group) / CELL).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
