@@ -72,11 +72,14 @@ def _kinds(t: str, sep: str) -> str:
     return f"concat_ws('{sep}', " + ", ".join(f"CASE WHEN len({PII_SQL[k](t)}) > 0 THEN '{k}' END" for k in PII_SQL) + ")"
 
 
-PROMPTS = (
-    "prompts AS (SELECT event_id AS prompt_id, replace(replace(replace(replace("
-    f"([{', '.join(_chars(t) for t in TEMPLATES)}])[event_id % {len(TEMPLATES)} + 1], "
-    "'{u}', user_id::VARCHAR), '{p}', '07' || lpad(user_id::VARCHAR, 8, '1')), '{d}', lpad(event_id::VARCHAR, 7, '3')), '{e}', 'u' || user_id || '.x@mail.example.org') AS text FROM events)"
-)
+def _filled(number: str) -> str:
+    t = f"([{', '.join(_chars(t) for t in TEMPLATES)}])[({number}) % {len(TEMPLATES)} + 1]"
+    for mark, value in {"{u}": "user_id::VARCHAR", "{p}": "'07' || lpad(user_id::VARCHAR, 8, '1')", "{d}": "lpad(event_id::VARCHAR, 7, '3')", "{e}": "'u' || user_id || '.x@mail.example.org'"}.items():
+        t = f"replace({t}, '{mark}', {value})"
+    return t
+
+
+PROMPTS = f"prompts AS (SELECT event_id AS prompt_id, {_filled('event_id')} AS text, {_filled('event_id * 7 + 3')} AS draft FROM events)"
 
 # --- emergencies --------------------------------------------------------------
 
@@ -93,7 +96,10 @@ signals AS (
   SELECT prompt_id, category, tier, phrase, count(*) AS n FROM occurrences
   WHERE len(list_filter(before, lambda w: list_contains({_list(fixed.NEGATIONS)}, w) OR w LIKE '%n''t')) = 0 GROUP BY ALL)"""
 
-_contacts = " ".join(f"WHEN '{c}' THEN {_q('|'.join(v))}" for c, v in fixed.CONTACTS.items())
+def _contacts(sep: str) -> str:
+    return "CASE category " + " ".join(f"WHEN '{c}' THEN {_q(sep.join(v))}" for c, v in fixed.CONTACTS.items()) + " ELSE '' END"
+
+
 _messages = " ".join(f"WHEN category = '{c}' AND severity = '{t}' THEN {_q(m)}" for c, tiers in fixed.EMERGENCY_MESSAGES.items() for t, m in tiers.items())
 _order = "CASE category " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(fixed.CATEGORY_PRIORITY)) + " END"
 EMERGENCY = f"""{SIGNALS},
@@ -108,6 +114,14 @@ verdicts AS (
 emergencies AS (
   SELECT prompt_id, coalesce(severity, 'none') AS severity, coalesce(category, 'none') AS category FROM prompts LEFT JOIN verdicts USING (prompt_id))"""
 
+_HARM = f"CASE WHEN {_any('text', fixed.HARMFUL_PATTERNS)} THEN {_q(fixed.HARMFUL_REASON)} END"
+_CRISIS = f"CASE WHEN {_contacts('')} = '' THEN message ELSE message || chr(10) || chr(10) || 'Emergency contacts: ' || {_contacts(', ')} END"
+GUARDED = f"""
+guarded AS (
+  SELECT *, CASE WHEN severity = 'critical' THEN {_q(fixed.CRITICAL_REASON)} ELSE coalesce({_injection('text')}, {_HARM}) END AS reason, CASE {_messages} ELSE '' END AS message
+  FROM emergencies JOIN prompts USING (prompt_id)),
+refused AS (SELECT *, CASE WHEN severity = 'critical' THEN {_CRISIS} ELSE {_chars(fixed.REFUSAL)} END AS answer FROM guarded WHERE reason IS NOT NULL)"""
+
 # --- retrieval ------------------------------------------------------------------
 
 TURNS = """
@@ -115,14 +129,18 @@ turns AS (
   SELECT conv_id * 100000 + turn AS query_id, conv_id, turn, text, recorded FROM (
     SELECT *, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS recorded FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   WHERE role = 'user')"""
-SCORES = f"""{TURNS},
+def _scores(turns: str, corpus: str) -> str:
+    return f"""{turns},
 asked AS (SELECT query_id, text AS q FROM turns),
 terms AS (SELECT query_id, len(ts) AS n_terms, unnest(ts) AS token FROM (SELECT query_id, list_distinct({_tokens('q')}) AS ts FROM asked)),
-bags AS (SELECT doc_id AS ordinal, source, text AS content, {_tokens('text')} AS bag FROM documents),
+bags AS (SELECT ordinal, source, text AS content, {_tokens('text')} AS bag FROM ({corpus})),
 idx AS (SELECT ordinal, unnest(list_distinct(bag)) AS token FROM bags),
 scores AS (
   SELECT query_id, ordinal, count(*) AS hits, n_terms, round_even(count(*) / n_terms, 4) AS score FROM terms JOIN idx USING (token) GROUP BY query_id, ordinal, n_terms),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal) AS rank FROM scores)"""
+
+
+SCORES = _scores(TURNS, "SELECT doc_id AS ordinal, source, text FROM documents")
 LEXICAL = f"""{SCORES},
 words AS (SELECT query_id, rank AS old_rank, ordinal, len(bag) AS n, unnest(bag) AS token FROM placed JOIN bags USING (ordinal) WHERE rank <= 10),
 tf AS (SELECT query_id, old_rank, ordinal, token, count(*) AS tf, any_value(n) AS n FROM words JOIN terms USING (query_id, token) GROUP BY query_id, old_rank, ordinal, token),
@@ -133,7 +151,7 @@ lexical AS (
 
 # --- grounding --------------------------------------------------------------------
 
-DRAFTS = f"""{SCORES},
+JUDGED = f"""
 contexts AS (SELECT query_id, list_distinct(flatten(list(bag))) AS known, count(*) AS n FROM placed JOIN bags USING (ordinal) WHERE rank <= @K@ GROUP BY query_id),
 drafts AS (
   SELECT t.*, coalesce(known, []) AS known, coalesce(n, 0) AS n FROM turns t LEFT JOIN contexts USING (query_id) WHERE recorded IS NOT NULL),
@@ -153,6 +171,7 @@ hallucinations AS (
 confidences AS (
   SELECT query_id, CASE WHEN n = 0 OR len(own) = 0 THEN 1.0::DOUBLE ELSE round_even(len(list_intersect(own, known)) / len(own), 4) END AS confidence
   FROM (SELECT *, list_distinct({_tokens('recorded')}) AS own FROM drafts))"""
+DRAFTS = f"{SCORES},{JUDGED}"
 _VERDICT = "CASE WHEN score < 0.35 THEN 'grounded' WHEN score < 0.7 THEN 'partial' ELSE 'hallucinated' END"
 
 
@@ -169,6 +188,7 @@ def _warnings(t: str, score: str, has_context: str) -> str:
 
 
 _TOXIC = _any("text", fixed.TOXICITY_PATTERNS)
+_SAFE = f"turns AS (SELECT prompt_id AS query_id, {_sanitized('text')} AS text, draft AS recorded FROM guarded WHERE reason IS NULL)"
 _CONTEXT = "the treatment of flu needs rest a contract with the user"
 OUTPUTS = f"""
 scored AS (
@@ -182,7 +202,7 @@ exchanges AS (
   SELECT conv_id, turn, text AS u, reply AS a FROM (
     SELECT *, lead(role) OVER w AS next, lead(text) OVER w AS reply FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next = 'assistant'),
 remembered AS (
-  SELECT conv_id, turn, coalesce(list({{'u': u, 'a': a}}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING), []) AS memory FROM exchanges)"""
+  SELECT conv_id, turn, u, coalesce(list({{'u': u, 'a': a}}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING), []) AS memory FROM exchanges)"""
 
 _SOURCES = """
 top3 AS (
@@ -204,7 +224,7 @@ ORACLES = {
     "harmful_rules": _with(PROMPTS) + f"SELECT prompt_id, CASE WHEN {_any('text', fixed.HARMFUL_PATTERNS)} THEN {_q(fixed.HARMFUL_REASON)} END AS reason FROM prompts",
     "emergency_signals": _with(PROMPTS, SIGNALS) + "SELECT * FROM signals",
     "emergency_verdict": _with(PROMPTS, EMERGENCY)
-    + f"SELECT prompt_id, severity <> 'none' AS is_emergency, severity, category, CASE {_messages} ELSE '' END AS message, CASE category {_contacts} ELSE '' END AS contacts FROM emergencies",
+    + f"SELECT prompt_id, severity <> 'none' AS is_emergency, severity, category, CASE {_messages} ELSE '' END AS message, {_contacts('|')} AS contacts FROM emergencies",
     "input_guard": _with(PROMPTS, EMERGENCY)
     + f"""SELECT prompt_id, blocked_reason IS NULL AS is_safe, blocked_reason, sanitized_text, severity, category FROM (
   SELECT prompt_id, CASE WHEN severity = 'critical' THEN {_q(fixed.CRITICAL_REASON)} ELSE coalesce({_injection('text')}, CASE WHEN {_any('text', fixed.HARMFUL_PATTERNS)} THEN {_q(fixed.HARMFUL_REASON)} END) END AS blocked_reason,
@@ -248,4 +268,33 @@ FROM drafts JOIN hallucinations USING (query_id) JOIN confidences USING (query_i
     + f"""SELECT prompt_id AS query_id, unnest(range(len(ps))) AS piece_no, unnest(ps) AS piece, NOT toxic AS kept FROM (
   SELECT prompt_id, toxic, CASE WHEN toxic THEN list_append(ws, {_chars(fixed.STREAM_NOTICE)}) ELSE ws END AS ps FROM (
     SELECT prompt_id, {_TOXIC} AS toxic, CASE WHEN text = '' THEN [''] ELSE list_concat(list_transform(regexp_split_to_array(text, ' ')[:-2], lambda w: w || ' '), regexp_split_to_array(text, ' ')[-1:]) END AS ws FROM prompts))""",
+    "guarded_answers": _with(PROMPTS, EMERGENCY, GUARDED, _scores(_SAFE, "SELECT item_id AS ordinal, 'benchmark' AS source, text FROM benchmark"), JUDGED.replace("@K@", "3"), _SOURCES)
+    + f"""SELECT query_id, toxic AS was_blocked, CASE WHEN toxic THEN {_q(fixed.TOXICITY_REASON)} END AS block_reason,
+  md5(CASE WHEN toxic THEN {_chars(fixed.OUTPUT_REFUSAL)} ELSE {_disclaimed(_redacted('recorded'), 'text')} END) AS answer_md5, coalesce(n_sources, 0) AS n_sources, score AS hallucination_score,
+  {_VERDICT} AS verdict, CASE WHEN toxic THEN 0.0::DOUBLE ELSE confidence END AS confidence, CASE WHEN toxic THEN '' ELSE {_warnings('recorded', 'confidence', 'n > 0')} END AS warnings
+FROM (SELECT *, {_any('recorded', fixed.TOXICITY_PATTERNS)} AS toxic FROM drafts) JOIN hallucinations USING (query_id) JOIN confidences USING (query_id) LEFT JOIN top3 USING (query_id)
+UNION ALL SELECT prompt_id, true, reason, md5(answer), 0, 0.0::DOUBLE, 'grounded', 1.0::DOUBLE, '' FROM refused""",
+    "blocked_stream": _with(PROMPTS, EMERGENCY, GUARDED) + "SELECT prompt_id AS query_id, 0::BIGINT AS piece_no, answer AS piece, false AS kept FROM refused",
+    "guards_switched": _with(PROMPTS, EMERGENCY)
+    + f"""SELECT prompt_id, in_reason IS NULL AS in_safe, in_reason, CASE WHEN checked THEN {_sanitized('text')} ELSE text END AS in_text, CASE WHEN checked THEN nullif(found, 'none') END AS in_severity,
+  found AS severity, NOT toxic AS out_safe, CASE WHEN toxic THEN '' WHEN shown THEN {_disclaimed('clean', _q('what about my illness'))} ELSE text END AS out_text,
+  CASE WHEN toxic THEN 0.0::DOUBLE WHEN shown THEN score ELSE 1.0::DOUBLE END AS confidence, CASE WHEN toxic OR NOT shown THEN '' ELSE {_warnings('text', 'score', 'true')} END AS warnings
+FROM (
+  SELECT *, CASE WHEN NOT checked THEN NULL WHEN found = 'critical' THEN {_q(fixed.CRITICAL_REASON)} ELSE coalesce({_injection('text')}, {_HARM}) END AS in_reason, shown AND {_TOXIC} AS toxic,
+    {_redacted('text')} AS clean, CASE WHEN len(own) = 0 THEN 1.0::DOUBLE ELSE round_even(len(list_intersect(own, {_tokens(_q(_CONTEXT))})) / len(own), 4) END AS score
+  FROM (
+    SELECT prompt_id, text, prompt_id % 2 = 0 AS checked, prompt_id % 5 <> 0 AS shown, CASE WHEN prompt_id % 3 = 0 THEN severity ELSE 'none' END AS found, list_distinct({_tokens('text')}) AS own
+    FROM emergencies JOIN prompts USING (prompt_id)))""",
+    "message_renderings": _with(MEMORY)
+    + f"""SELECT conv_id, turn, md5(sys) AS system_md5, repeat('user|assistant|', len(memory)::INTEGER) || 'user' AS chat_roles,
+  md5('system: ' || sys || chr(10) || chr(10) || array_to_string(list_transform(memory, lambda m: 'user: ' || m.u || chr(10) || chr(10) || 'assistant: ' || m.a || chr(10) || chr(10)), '')
+    || 'user: Context:' || chr(10) || {_chars(fixed.NO_CONTEXT)} || chr(10) || chr(10) || 'Question: ' || u) AS flat_md5,
+  'system|' || repeat('human|ai|', len(memory)::INTEGER) || 'human' AS chain_roles FROM (SELECT *, {_chars(fixed.SYSTEM_PROMPT)} AS sys FROM remembered)""",
+    "payload_passages": """SELECT doc_id AS id, md5(CASE WHEN doc_id % 3 = 0 THEN 'c' || doc_id ELSE coalesce(text, '') END) AS content_md5,
+  CASE WHEN doc_id % 5 = 0 OR coalesce(source, '') = '' THEN doc_id::VARCHAR ELSE source END AS source, doc_id / 4 AS score,
+  md5('lang=' || coalesce(lang, '') || CASE WHEN doc_id % 3 = 0 THEN '|text=' || coalesce(text, '') ELSE '|title=c' || doc_id END) AS metadata_md5 FROM documents""",
+    "memory_cleared": _with(MEMORY)
+    + f"""SELECT conv_id, turn, len(users) AS n, array_to_string(users, '|') AS users FROM (
+  SELECT conv_id, turn, coalesce(list(u) OVER (PARTITION BY conv_id, part ORDER BY turn ROWS BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING), []) AS users FROM (
+    SELECT *, count(*) FILTER (turn % 4 = 0 OR turn % 5 = 0) OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM exchanges))""",
 }

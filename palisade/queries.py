@@ -9,7 +9,8 @@ from palisade.functions import emergency, fixed, guards, text
 from palisade.operators import memory, rerank, retrieval
 from palisade.plans import rag
 from palisade.settings import Settings
-from palisade.sources.corpus import chunks
+from palisade.sources import providers
+from palisade.sources.corpus import chunks, from_payload
 from palisade.sources.scratch import staged
 
 SETTINGS = Settings()
@@ -34,14 +35,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(prompt_id, text)``: a template for each event, with the event's own numbers in it."""
-    t = F.get(F.array(*map(F.lit, TEMPLATES)), F.pmod(F.col("event_id"), F.lit(len(TEMPLATES))).cast("int"))
+def _filled(spark: SparkSession, sf_dir: str, **texts: Column) -> DataFrame:
+    """``prompt_id`` with, for each named column, the template of that number, with the event's own numbers in it."""
     user = F.col("user_id").cast("string")
     parts = {"{u}": user, "{p}": F.concat(F.lit("07"), F.lpad(user, 8, "1")), "{d}": F.lpad(F.col("event_id").cast("string"), 7, "3"), "{e}": F.concat(F.lit("u"), user, F.lit(".x@mail.example.org"))}
-    for mark, value in parts.items():
-        t = F.replace(t, F.lit(mark), value)
-    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("prompt_id"), t.alias("text"))
+
+    def filled(number: Column) -> Column:
+        t = F.get(F.array(*map(F.lit, TEMPLATES)), F.pmod(number, F.lit(len(TEMPLATES))).cast("int"))
+        for mark, value in parts.items():
+            t = F.replace(t, F.lit(mark), value)
+        return t
+
+    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("prompt_id"), *(filled(n).alias(c) for c, n in texts.items()))
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(prompt_id, text)``: a template for each event."""
+    return _filled(spark, sf_dir, text=F.col("event_id"))
+
+
+def exchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(query_id, text, recorded)``: a prompt and, as its recorded answer, another template."""
+    return _filled(spark, sf_dir, text=F.col("event_id"), recorded=F.col("event_id") * 7 + 3).withColumnRenamed("prompt_id", "query_id")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,14 +233,74 @@ def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", F.size("messages").cast("long").alias("n_messages"), _joined(F.transform("messages", lambda m: m["role"])).alias("roles"), F.md5(last["content"]).alias("user_turn_md5"))
 
 
-def pipeline_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replay(spark, sf_dir).select(
+def _answers(done: DataFrame) -> DataFrame:
+    return done.select(
         "query_id", "was_blocked", "block_reason", F.md5("answer").alias("answer_md5"), F.size("sources").cast("long").alias("n_sources"),
         F.col("hallucination.score").alias("hallucination_score"), F.col("hallucination.verdict").alias("verdict"), F.col("output.confidence_score").alias("confidence"),
         _joined(F.col("output.warnings")).alias("warnings"),
     )
 
 
+def pipeline_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(_replay(spark, sf_dir))
+
+
+def guarded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole flow over prompts of which many are blocked, or have an answer that is: passages are the benchmark's items."""
+    items = chunks(_table(spark, sf_dir, "benchmark"), "text", "item_id", F.lit("benchmark"))
+    return _answers(rag.answer(exchanged(spark, sf_dir), items, SETTINGS, 3, recorded="recorded"))
+
+
+def blocked_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream gives for each prompt that the input guard blocks."""
+    out = rag.blocked_pieces(prompts(spark, sf_dir).withColumnRenamed("prompt_id", "query_id"), SETTINGS)
+    return out.withColumn("piece_no", F.col("piece_no").cast("long"))
+
+
+def guards_switched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guards that are off for some rows: input every second, emergencies two of three, output one of five."""
+    context = F.array(F.lit("The treatment of flu needs rest"), F.lit("a contract with the user"))
+    number = F.col("prompt_id")
+    rows = prompts(spark, sf_dir).select(
+        "prompt_id",
+        guards.input_guard(F.col("text"), number % 2 == 0, number % 3 == 0).alias("i"),
+        guards.output_guard(F.col("text"), F.lit("what about my illness"), context, enabled=number % 5 != 0).alias("o"),
+        emergency.detect(F.col("text"), number % 3 == 0).alias("e"),
+    )
+    return rows.select(
+        "prompt_id", F.col("i.is_safe").alias("in_safe"), F.col("i.blocked_reason").alias("in_reason"), F.col("i.sanitized_text").alias("in_text"), F.col("i.emergency.severity").alias("in_severity"),
+        F.col("e.severity").alias("severity"), F.col("o.is_safe").alias("out_safe"), F.col("o.sanitized_output").alias("out_text"), F.col("o.confidence_score").alias("confidence"),
+        _joined(F.col("o.warnings")).alias("warnings"),
+    )
+
+
+def message_renderings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of each remembered turn in the forms that chat services take."""
+    messages = rag.prompt(F.col("user"), F.array().cast(rag.SOURCES), F.col("memory"))
+    rows = _remembered(spark, sf_dir).withColumn("m", messages).withColumn("s", providers.split_system_column(F.col("m")))
+    roles = lambda c: _joined(F.transform(c, lambda m: m["role"]))
+    return rows.select(
+        "conv_id", "turn", F.md5("s.system").alias("system_md5"), roles(F.col("s.chat")).alias("chat_roles"), F.md5(providers.flat_prompt_column(F.col("m"))).alias("flat_md5"),
+        roles(providers.chain_roles_column(F.col("m"))).alias("chain_roles"),
+    )
+
+
+def payload_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as hits of a vector store, some with content, some without a source."""
+    number = F.col("doc_id")
+    own = F.when(number % 3 == 0, "content").otherwise("title")
+    payload = F.create_map(F.lit("text"), F.col("text"), F.lit("source"), F.when(number % 5 == 0, "").otherwise(F.col("source")), F.lit("lang"), F.col("lang"), own, F.concat(F.lit("c"), number.cast("string")))
+    out = from_payload(_table(spark, sf_dir, "documents").select(number.alias("id"), payload.alias("payload"), (number / 4).alias("score")))
+    entries = F.sort_array(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))))
+    return out.select("id", F.md5("content").alias("content_md5"), "source", "score", F.md5(_joined(entries)).alias("metadata_md5"))
+
+
+def memory_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memory that is emptied before each turn whose number divides by four or five."""
+    rows = memory.remembered(memory.exchanges(_table(spark, sf_dir, "conversations")), WINDOW, cleared=(F.col("turn") % 4 == 0) | (F.col("turn") % 5 == 0))
+    return rows.select("conv_id", "turn", F.size("memory").cast("long").alias("n"), _joined(F.transform("memory", lambda t: t["user"])).alias("users"))
+
+
 def stream_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each prompt as a draft, streamed word by word."""
     drafts = prompts(spark, sf_dir).select(
@@ -240,5 +315,6 @@ QUERIES = {
         content_tokens_stats, pii_detect, pii_detect_documents, pii_redact, input_sanitize, injection_rules, harmful_rules, emergency_signals, emergency_verdict, input_guard,
         overlap_retrieve_topk, lexical_rerank_topk, rrf_fusion, vector_topk, tf_hash_embedding, claims_extract, hallucination_verdict, grounding_confidence, toxicity_screen,
         disclaimer_inject, output_guard, memory_window, memory_messages, memory_stored, prompt_assembly, pipeline_replay, stream_pieces,
+        guarded_answers, blocked_stream, guards_switched, message_renderings, payload_passages, memory_cleared,
     )
 }

@@ -193,3 +193,12 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     got = {r.turn: [t.user for t in r.memory] for r in spark.table("remembered").collect()}
     assert got == {0: [], 1: ["q0"], 2: ["q0"], 3: ["q0", "q2"]}
+
+
+def test_memory_that_is_cleared(spark, turns):
+    got = users(memory.remembered(turns, 10, cleared=F.col("turn") == 1))
+    assert got == {(1, 0): [], (1, 1): [], (1, 2): ["q1"], (2, 0): []}
+    assert users(memory.remembered(turns, 10, cleared=F.lit(None).cast("boolean")))[1, 2] == ["q0", "q1"]
+    twice = spark.createDataFrame([(1, 0, "b", "y"), (1, 0, "a", "x"), (1, 1, "c", "z")], "conv_id long, turn long, user string, assistant string")
+    assert users(memory.remembered(twice, 10))[1, 1] == ["a", "b"]
+    assert memory.remembered(turns.limit(0), 10, cleared=F.lit(True)).count() == 0
