@@ -19,7 +19,7 @@ def _spans(spans: Column) -> Column:
 def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tool_calls.link(*tool_calls.from_conversations(_table(spark, sf_dir, "conversations")), tool_calls.CHAT_SCHEMAS)
     return out.select(
-        "conv_id", "call_id", "status", "position", "result_position", "name", "n_calls", "n_results", "place", "valid",
+        "conv_id", "call_id", "status", "position", "result_position", "name", "n_calls", "n_results", F.col("level").cast("long").alias("level"), "place", "valid",
         F.array_join("errors", "; ").alias("errors"), F.md5("canonical").alias("canonical_md5"), F.md5("content").alias("content_md5"),
     )
 
@@ -80,7 +80,7 @@ QUERIES = {
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op1_tool_call_linking": r"""
-WITH m AS (
+WITH RECURSIVE m AS (
   SELECT conv_id, turn, role, text, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 raw_calls AS (
@@ -89,14 +89,24 @@ raw_calls AS (
 calls AS (
   SELECT *, count(*) OVER (PARTITION BY conv_id, call_id) AS n_calls FROM raw_calls
   QUALIFY row_number() OVER (PARTITION BY conv_id, call_id ORDER BY name, words, text) = 1),
+edges AS (
+  SELECT c.conv_id, c.call_id, c.turn AS own, n.call_id AS need, n.turn AS other
+  FROM calls c JOIN calls n ON n.conv_id = c.conv_id AND n.turn = c.turn + CASE WHEN c.words % 2 = 1 THEN 2 ELSE -2 END AND floor(n.turn / 8) = floor(c.turn / 8)
+  WHERE c.words IS NOT NULL),
+chains(conv_id, call_id, steps) AS (
+  SELECT conv_id, call_id, 0 FROM calls ANTI JOIN edges USING (conv_id, call_id)
+  UNION ALL SELECT e.conv_id, e.call_id, steps + 1 FROM chains c JOIN edges e ON e.conv_id = c.conv_id AND e.need = c.call_id),
+levels AS (
+  SELECT conv_id, call_id, CASE WHEN conv_id IN (SELECT conv_id FROM edges WHERE other > own) THEN steps ELSE 0 END AS level
+  FROM calls LEFT JOIN chains USING (conv_id, call_id)),
 judged AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place,
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY level NULLS LAST, turn) AS place,
     CASE WHEN text IS NULL THEN CASE WHEN name = 'ask' THEN '$.text: missing; $.words: missing' ELSE '$.text: missing' END
          WHEN name = 'ask' THEN concat_ws('; ', CASE WHEN length(text) NOT BETWEEN 20 AND 1000 THEN '$.text: length' END,
                                           CASE WHEN words NOT BETWEEN 3 AND 150 THEN '$.words: out of range' END)
          WHEN length(text) < 1 THEN '$.text: length' ELSE '' END AS errors,
     '{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"text":' || to_json(text) || ',"words":' || words END || '},"id":"' || call_id || '","name":"' || name || '"}' AS canonical
-  FROM calls),
+  FROM calls JOIN levels USING (conv_id, call_id)),
 replies AS (
   SELECT conv_id, 'call-' || conv_id || '-' || (turn - 1) AS call_id, min(turn) AS turn, count(*) AS n_results,
          min(text) AS content
@@ -104,7 +114,7 @@ replies AS (
 SELECT conv_id, call_id,
        CASE WHEN j.name IS NULL THEN 'orphan' WHEN r.n_results IS NULL THEN 'unanswered' WHEN r.turn < j.turn THEN 'early' ELSE 'linked' END AS status,
        j.turn::BIGINT AS position, r.turn::BIGINT AS result_position, j.name AS name, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
-       place, errors = '' AS valid, errors, md5(canonical) AS canonical_md5, md5(content) AS content_md5
+       level::BIGINT AS level, place, errors = '' AS valid, errors, md5(canonical) AS canonical_md5, md5(content) AS content_md5
 FROM judged j FULL JOIN replies r USING (conv_id, call_id)
 """,
     "op3_line_dedup": r"""

@@ -283,18 +283,29 @@ CHAT_SCHEMAS = {
 }
 
 
+#: Turns of a conversation whose calls may need each other in ``from_conversations``.
+BLOCK = 8
+
+
 def from_conversations(chats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of ``conversations(conv_id, turn, role, text)``.
 
     A user turn is a call of ``ask`` and a system turn one of ``configure``,
-    with the text and its number of words as arguments; it needs the call two
-    turns before. An assistant turn is the result of the call one turn before.
+    with the text and its number of words as arguments. Of an odd number of words
+    it needs the call two turns later, of an even number the one two turns
+    before, if that lies in the same ``BLOCK`` turns; so calls wait for later
+    ones, and two neighbours may wait for each other. Without a text it needs
+    none. An assistant turn is the result of the call one turn before.
     """
     of = lambda back: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
     name = F.when(F.col("role") == "user", "ask").when(F.col("role") == "system", "configure")
-    arguments = F.to_json(F.struct(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"), F.col("text")))
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    arguments = F.to_json(F.struct(words.alias("words"), F.col("text")))
+    back = F.when(words % 2 == 1, -2).otherwise(2)
+    same = F.floor(F.col("turn") / BLOCK) == F.floor((F.col("turn") - back) / BLOCK)
+    needs = F.when(words.isNotNull() & same, F.array(of(back))).otherwise(F.array().cast("array<string>"))
     calls = chats.where(name.isNotNull()).select(
-        "conv_id", F.when(F.col("turn").isNotNull(), of(0)).alias("call_id"), F.col("turn").cast("long").alias("position"), name.alias("name"), arguments.alias("arguments"), F.array(of(2)).alias("needs")
+        "conv_id", F.when(F.col("turn").isNotNull(), of(0)).alias("call_id"), F.col("turn").cast("long").alias("position"), name.alias("name"), arguments.alias("arguments"), needs.alias("needs")
     )
     results = chats.where("role = 'assistant'").select(
         "conv_id", F.when(F.col("turn").isNotNull(), of(1)).alias("call_id"), F.col("turn").cast("long").alias("position"), F.col("text").alias("content")
