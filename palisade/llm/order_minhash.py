@@ -8,7 +8,7 @@ therefore changes when the picked k-mers change or change places, which makes
 the share of equal slots follow the edit distance, not only the set overlap.
 
 All of it is one expression on a row: no exploding, no shuffle. K-mers are
-handled as longs that hold 40 hash bits and a 24-bit position, so the sort is
+handled as longs that hold 34 hash bits and a 30-bit position, so the sort is
 one of plain longs, and runs of equal k-mers give the occurrence numbers.
 """
 
@@ -28,8 +28,8 @@ K = 3
 SLOTS = 64
 #: Pairs that are hashed together.
 TUPLE = 2
-#: Bits of a packed long that hold the position; words beyond 2 ** 24 share the last one.
-PLACE_BITS = 24
+#: Bits of a packed long that hold the position: a string of under 2 ** 31 bytes has fewer than 2 ** 30 words.
+PLACE_BITS = 30
 _PLACE = (1 << PLACE_BITS) - 1
 #: Written for a slot that no k-mer falls in (null in arrays).
 EMPTY = "--------"
@@ -41,7 +41,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _pack(h: Column, at: Column) -> Column:
-    return h.bitwiseAND(F.lit(~_PLACE).cast("long")).bitwiseOR(F.least(at.cast("long"), F.lit(_PLACE).cast("long")))
+    return h.bitwiseAND(F.lit(~_PLACE).cast("long")).bitwiseOR(at.cast("long"))
 
 
 def _top(packed: Column) -> Column:
