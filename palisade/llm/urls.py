@@ -11,6 +11,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ RULES = (
 )
 #: Most labelled URLs the trees are fitted on.
 SAMPLE = 20_000
+#: Parts of that sample; a row's statistics come from the parts that it is not in.
+FOLDS = 5
 TREES = 40
 DEPTH = 4
 RATE = 0.2
@@ -184,12 +187,17 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> tuple[Tr
     """Trees and suffix statistics from ``labelled(url, host, path, blocked)``.
 
     At most ``sample`` different URLs are fitted on: those of the smallest
-    seeded hash, so the choice does not depend on the partitioning.
+    seeded hash, so the choice does not depend on the partitioning. Each is
+    fitted on the statistics of the other ``FOLDS`` - 1 folds, and new URLs are
+    judged by those of all.
     """
     picked = labelled.groupBy("url", "host", "path").agg(F.max("blocked").alias("blocked")).orderBy(F.xxhash64(F.lit(seed), "url"), "url").limit(sample)
     rows = sorted((r.url or "", r.host, r.path, int(r.blocked)) for r in picked.collect())
     stats = suffix_stats(rows)
-    x = np.array([features(u, h, p, stats) for u, h, p, _ in rows], float).reshape(len(rows), len(FEATURES))
+    # a row's own label must not be in the rates that it is fitted on
+    folds = [crc32((u + "\n" + h + p).encode("utf-8", "surrogatepass")) % FOLDS for u, h, p, _ in rows]
+    others = [suffix_stats([r for r, f in zip(rows, folds) if f != k]) for k in range(FOLDS)]
+    x = np.array([features(u, h, p, others[f]) for (u, h, p, _), f in zip(rows, folds)], float).reshape(len(rows), len(FEATURES))
     return Trees().fit(x, np.array([r[3] for r in rows], float)), stats
 
 

@@ -1,6 +1,7 @@
 """Mixing, URL rules and trees, language ID and Order MinHash against plain versions."""
 
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -156,6 +157,17 @@ def test_filter_masks():
     assert np.allclose(absent, f.false, atol=0.002)
 
 
+def test_url_rates_leave_out_the_own_label(spark):
+    """Where every URL has a suffix of its own, a block rate tells nothing of others, and no tree may lean on it."""
+    rng = random.Random(3)
+    rows = [(f"https://h.{''.join(p)}/x", f"h.{''.join(p)}", "/x", rng.randrange(2)) for p in itertools.islice(itertools.permutations("abcdef"), 400)]
+    trees, stats = urls.fit(spark.createDataFrame(rows, "url string, host string, path string, blocked int"))
+    used = {node[0] for nodes in trees.fitted for node in nodes}
+    assert not used & {urls.FEATURES.index("suffix_block_rate"), urls.FEATURES.index("section_block_rate")}
+    assert len(stats) == 800
+    assert urls.fit(spark.createDataFrame(rows[:1], "url string, host string, path string, blocked int"))[1]
+
+
 # --- Order MinHash ---------------------------------------------------------------
 
 
