@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontamination, langid, lines, mixing, order_minhash, passages, simhash, substrings, tool_calls, urls, wrappers
+from palisade.llm import byte_pairs, decontamination, langid, lines, mixing, order_minhash, passages, simhash, substrings, tool_calls, urls, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,10 @@ def op10_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op13_byte_pair_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_tool_call_linking": op1_tool_call_linking,
     "op2_latent_decontamination": op2_latent_decontamination,
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_url_boosted_trees": op8_url_boosted_trees,
     "op9_order_minhash": op9_order_minhash,
     "op10_language_bitmask": op10_language_bitmask,
+    "op13_byte_pair_prefixes": op13_byte_pair_prefixes,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
