@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import byte_pairs, decontamination, langid, lines, mixing, order_minhash, passages, simhash, substrings, tool_calls, urls, wrappers
+from palisade.llm import alignment, byte_pairs, decontamination, langid, lines, mixing, order_minhash, passages, simhash, substrings, tool_calls, urls, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op10_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_byte_pair_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op8_url_boosted_trees": op8_url_boosted_trees,
     "op9_order_minhash": op9_order_minhash,
     "op10_language_bitmask": op10_language_bitmask,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op13_byte_pair_prefixes": op13_byte_pair_prefixes,
 }
 
