@@ -18,6 +18,7 @@ import base64
 import bisect
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -46,6 +47,7 @@ ADDED_SINCE = (
     (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
 )
 _ADDED = regex.compile("[" + "".join(f"{chr(a)}-{chr(z)}" for a, z in ADDED_SINCE) + "]")
+_FIRST_ADDED = chr(ADDED_SINCE[0][0])
 #: A character of no Unicode version, to stand for those while a text is split.
 _UNASSIGNED = "͸"
 
@@ -150,36 +152,42 @@ class Encoder:
             end -= len(self.bytes_of[last[end]])
         return out[::-1]
 
-    def match_ids(self, match: str) -> tuple[int, ...]:
-        """Token ids of one match."""
-        ids = self._known.get(match)
-        if ids is None:
-            ids = self._older.get(match)
-        if ids is None:
-            b = match.encode("utf-8", "replace")
-            head = b[:HEAD]
-            last = self._heads.get(head)
-            if last is None:
-                if len(self._heads) >= HEADS:
-                    self._heads.clear()
-                last = self._heads[head] = self.prefixes(head)
-            ids = tuple(self.tokens_of(self.prefixes(b, last)))
-            if len(b) <= SHORT:
-                if len(self._known) >= REMEMBERED:
-                    self._older, self._known = self._known, {}
-                self._known[match] = ids
-        return ids
+    def _ids(self, match: str) -> tuple[int, ...]:
+        """Token ids of a match that is not remembered."""
+        b = match.encode("utf-8", "replace")
+        head = b[:HEAD]
+        last = self._heads.get(head)
+        if last is None:
+            if len(self._heads) >= HEADS:
+                self._heads.clear()
+            last = self._heads[head] = self.prefixes(head)
+        return tuple(self.tokens_of(self.prefixes(b, last)))
+
+    def ids_of(self, matches: list[str]) -> list[tuple[int, ...]]:
+        """Token ids of each match."""
+        found = list(map(self._known.get, matches))
+        if None in found:
+            for n, ids in enumerate(found):
+                if ids is None:
+                    match = matches[n]
+                    ids = self._older.get(match)
+                    found[n] = ids = self._ids(match) if ids is None else ids
+                    if len(match) <= SHORT:
+                        self._known[match] = ids
+            if len(self._known) >= REMEMBERED:
+                self._older, self._known = self._known, {}
+        return found
 
     def split(self, text: str) -> list[str]:
         """The pattern's matches."""
-        if text.isascii() or not _ADDED.search(text):
+        if text.isascii() or max(text) < _FIRST_ADDED or not _ADDED.search(text):
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(_ADDED.sub(_UNASSIGNED, text))]
 
     def encode(self, text: str) -> Encoded:
         matches = self.split(text)
-        found = [self.match_ids(m) for m in matches]
-        return Encoded([i for f in found for i in f], [len(m) for m in matches], [len(f) for f in found])
+        found = self.ids_of(matches)
+        return Encoded(list(chain.from_iterable(found)), list(map(len, matches)), list(map(len, found)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -210,15 +218,16 @@ class Encoder:
                 old = place - moved
                 n = bisect.bisect_left(ends, old)
                 if place >= start + len(inserted) and n < len(ends) - 1 and ends[n] == old:
-                    return new, Encoded(ids + [i for m in out for i in self.match_ids(m)] + done.ids[first[n] :], chars + [len(m) for m in out] + done.chars[n:], tokens + [len(self.match_ids(m)) for m in out] + done.tokens[n:])
+                    found = self.ids_of(out)
+                    return new, Encoded([*ids, *chain.from_iterable(found), *done.ids[first[n] :]], [*chars, *map(len, out), *done.chars[n:]], [*tokens, *map(len, found), *done.tokens[n:]])
                 if not whole and place + len(m) + LOOK_AHEAD > at + width:
                     break
                 out.append(m)
                 place += len(m)
             else:
                 if whole:
-                    found = [self.match_ids(m) for m in out]
-                    return new, Encoded(ids + [i for f in found for i in f], chars + [len(m) for m in out], tokens + [len(f) for f in found])
+                    found = self.ids_of(out)
+                    return new, Encoded([*ids, *chain.from_iterable(found)], [*chars, *map(len, out)], [*tokens, *map(len, found)])
             width *= 4
 
 
