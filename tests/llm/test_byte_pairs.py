@@ -90,6 +90,15 @@ def test_characters_are_split_as_the_library_splits_them(own):
                 assert (len(own.split("a" + chr(c))) == 1) == (probe.encode_ordinary("a" + chr(c))[0] >= 256), hex(c)
 
 
+def test_latin_texts_are_split_alike(own):
+    rng = random.Random(4)
+    assert type(own.latin) is not type(own.pattern)
+    every = "".join(map(chr, range(256)))
+    for _ in range(3000):
+        text = some(rng, 30, every + "  'sll" + "  \n\t\xa0\x85" * 4)
+        assert own.latin.findall(text) == own.pattern.findall(text)
+
+
 def test_awkward_rows(spark, library):
     docs = data.documents(spark)
     out = byte_pairs.round_trip(docs, PATH, P.PATTERN).collect()
