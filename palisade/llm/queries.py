@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import alignment, byte_pairs, decontamination, langid, lines, mixing, order_minhash, passages, simhash, substrings, tool_calls, urls, wrappers
+from palisade.llm import alignment, byte_pairs, decontamination, langid, lines, mixing, order_minhash, passages, simhash, substrings, tool_calls, urls, vantage, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,12 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("groups", "groups_sha256")
 
 
+def op12_vantage_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    planted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return vantage.hard_negatives(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), planted.alias("label")), F.col("id") % 50 == 0)
+
+
 def op13_byte_pair_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -86,6 +92,7 @@ QUERIES = {
     "op9_order_minhash": op9_order_minhash,
     "op10_language_bitmask": op10_language_bitmask,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_vantage_negatives": op12_vantage_negatives,
     "op13_byte_pair_prefixes": op13_byte_pair_prefixes,
 }
 
