@@ -17,12 +17,14 @@ from __future__ import annotations
 import base64
 import bisect
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +74,14 @@ class Encoded(NamedTuple):
     tokens: list[int]
 
 
+def _list(packed: list[bytes]) -> list[int]:
+    return array("i", b"".join(packed)).tolist()
+
+
+def _counts(packed: list[bytes]) -> list[int]:
+    return [len(p) // 4 for p in packed]
+
+
 class Encoder:
     """Encodes by the ranks of a ``.tiktoken`` file (base64 token and rank a line) and a splitting pattern."""
 
@@ -85,9 +95,11 @@ class Encoder:
         self.never = len(self.rank) + 256
         self.stays = lru_cache(1 << 18)(self._stays)
         self._edges: dict[bytes, tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]] = {}
-        self._known: dict[str, tuple[int, ...]] = {}
-        self._older: dict[str, tuple[int, ...]] = {}
+        # token ids are remembered as the bytes of 32-bit numbers, which join at once
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._heads: dict[bytes, list[int]] = {}
+        self._places: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def merged(self, b: bytes, down_to: int = 1) -> list[bytes]:
         """The parts that the merges leave of ``b``: again and again the pair of least rank, the first of equals."""
@@ -165,8 +177,8 @@ class Encoder:
             end -= len(self.bytes_of[last[end]])
         return out[::-1]
 
-    def _ids(self, match: str) -> tuple[int, ...]:
-        """Token ids of a match that is not remembered."""
+    def _ids(self, match: str) -> bytes:
+        """Token ids of a match that is not remembered, packed."""
         b = match.encode("utf-8", "replace")
         head = b[:HEAD]
         last = self._heads.get(head)
@@ -174,10 +186,10 @@ class Encoder:
             if len(self._heads) >= HEADS:
                 self._heads.clear()
             last = self._heads[head] = self.prefixes(head)
-        return tuple(self.tokens_of(self.prefixes(b, last)))
+        return array("i", self.tokens_of(self.prefixes(b, last))).tobytes()
 
-    def ids_of(self, matches: list[str]) -> list[tuple[int, ...]]:
-        """Token ids of each match."""
+    def ids_of(self, matches: list[str]) -> list[bytes]:
+        """Token ids of each match, packed."""
         found = list(map(self._known.get, matches))
         if None in found:
             for n, ids in enumerate(found):
@@ -203,11 +215,25 @@ class Encoder:
     def encode(self, text: str) -> Encoded:
         matches = self.split(text)
         found = self.ids_of(matches)
-        return Encoded(list(chain.from_iterable(found)), list(map(len, matches)), list(map(len, found)))
+        return Encoded(_list(found), list(map(len, matches)), _counts(found))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def decode_all(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of many tokens, and where each one's end."""
+        if self._places is None:
+            sizes = np.zeros(max(self.bytes_of) + 1, np.int64)
+            for n, b in self.bytes_of.items():
+                sizes[n] = len(b)
+            self._places = np.frombuffer(b"".join(self.bytes_of.get(n, b"") for n in range(len(sizes))), np.uint8), np.cumsum(sizes) - sizes, sizes
+        table, first, size = self._places
+        sizes = size[ids]
+        if len(ids) and not sizes.all():
+            raise ValueError("an id is not in the rank table")
+        ends = np.cumsum(sizes)
+        return table[np.repeat(first[ids] - ends + sizes, sizes) + np.arange(sizes.sum())], ends
+
     def edit(self, text: str, done: Encoded, start: int, removed: int, inserted: str) -> tuple[str, Encoded]:
         """``text`` with ``inserted`` in place of ``removed`` characters at ``start``, and ``encode`` of it.
 
@@ -235,7 +261,7 @@ class Encoder:
                 n = bisect.bisect_left(ends, old)
                 if place >= start + len(inserted) and n < len(ends) - 1 and ends[n] == old:
                     found = self.ids_of(out)
-                    return new, Encoded([*ids, *chain.from_iterable(found), *done.ids[first[n] :]], [*chars, *map(len, out), *done.chars[n:]], [*tokens, *map(len, found), *done.tokens[n:]])
+                    return new, Encoded(ids + _list(found) + done.ids[first[n] :], [*chars, *map(len, out), *done.chars[n:]], tokens + _counts(found) + done.tokens[n:])
                 if not whole and place + len(m) + LOOK_AHEAD > at + width:
                     break
                 out.append(m)
@@ -243,7 +269,7 @@ class Encoder:
             else:
                 if whole:
                     found = self.ids_of(out)
-                    return new, Encoded([*ids, *chain.from_iterable(found)], [*chars, *map(len, out)], [*tokens, *map(len, found)])
+                    return new, Encoded(ids + _list(found), [*chars, *map(len, out)], tokens + _counts(found))
             width *= 4
 
 
@@ -262,10 +288,16 @@ def _lists(found: list[Encoded]) -> list[pa.Array]:
     return [pa.array([f[n] for f in found], _INTS) for n in range(3)]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+def _listed(rows: list[np.ndarray]) -> pa.Array:
+    """Rows of numbers as one array of lists."""
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32), pa.int32()))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text", matches: bool = True) -> DataFrame:
     """``(id, ids, match_chars, match_tokens)`` of every whole text of ``docs``; a null text is an empty one.
 
-    ``match_chars`` and ``match_tokens`` are the characters and tokens of each
+    ``match_chars`` and ``match_tokens`` (left out without ``matches``) are the characters and tokens of each
     match of the pattern, by which ``edit`` finds its place. Special tokens'
     strings are ordinary text. Rows keep to themselves (no shuffle), ids may be
     null or repeated, and other columns are left out, whatever their names.
@@ -275,22 +307,31 @@ def encode(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for b in sliced(batches):
-            found = [e.encode(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *_lists(found)], ["id", "ids", "match_chars", "match_tokens"])
+            split = list(map(e.split, b.column(1).to_pylist()))
+            found = list(map(e.ids_of, split))
+            columns = [_listed([np.frombuffer(b"".join(f), "i4") for f in found])]
+            if matches:
+                columns += [_listed([np.fromiter(map(len, m), np.int32, len(m)) for m in split]), _listed([np.fromiter(map(len, f), np.int32, len(f)) // 4 for f in found])]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["id", "ids", "match_chars", "match_tokens"][: 1 + len(columns)])
 
-    return short_batches(rows).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {ENCODED}").withColumnRenamed("id", id)
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, {ENCODED if matches else ENCODED.split(',')[0]}"
+    return short_batches(rows).mapInArrow(run, schema).withColumnRenamed("id", id)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``, the bytes of its tokens; null for null ids. An id that is not in the table is an error."""
-    schema = encoded.drop("decoded").withColumn("decoded", F.lit(b"")).schema
+    schema = encoded.drop("decoded").withColumn("decoded", F.lit(None).cast("binary")).schema
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for b in sliced(batches):
-            decoded = [None if x is None else e.decode(x) for x in b.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names[:-1]), pa.array(decoded, pa.binary())], names)
+            own = b.column(ids)
+            sizes = pc.fill_null(own.value_lengths(), 0).to_numpy()
+            decoded, byte_ends = e.decode_all(own.flatten().to_numpy())
+            ends = np.r_[0, byte_ends][np.r_[0, np.cumsum(sizes)]]
+            made = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(decoded)])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names[:-1]), pc.if_else(own.is_valid(), made, None)], names)
 
     return short_batches(encoded.drop("decoded")).mapInArrow(run, schema)
 
@@ -322,7 +363,7 @@ def edit(encoded: DataFrame, edits: DataFrame, path: str, pattern: str, id: str
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every whole text of ``docs``, encoded and decoded again."""
-    out = decode(encode(docs, path, pattern).select("doc_id", "ids"), path, pattern)
+    out = decode(encode(docs, path, pattern, matches=False), path, pattern)
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -117,6 +117,13 @@ def test_special_tokens_are_plain_text(spark, library):
     assert byte_pairs.encode(docs, PATH, P.PATTERN).first().ids == library.encode_ordinary("a<|endoftext|>b")
 
 
+def test_decode_of_nulls_and_unknown_ids(spark, own):
+    df = spark.createDataFrame([(1, [64, 172]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.decoded for r in byte_pairs.decode(df, PATH, P.PATTERN).collect()} == {1: own.decode([64, 172]), 2: None, 3: b""}
+    with pytest.raises(Exception, match="not in the rank table|out of bounds"):
+        byte_pairs.decode(spark.createDataFrame([(1, [50_400])], "doc_id long, ids array<int>"), PATH, P.PATTERN).collect()
+
+
 def test_edited_table(spark):
     docs = data.documents(spark).select("doc_id", "text").where("doc_id between 0 and 22")
     encoded = byte_pairs.encode(docs, PATH, P.PATTERN).join(docs, "doc_id")
