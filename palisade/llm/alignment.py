@@ -31,8 +31,20 @@ SHORT, REMEMBERED = 48, 1 << 17
 OFTEN = 1 << 16
 #: How the byte-level tokenizer splits a text (a fixed value of its library).
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Neither tokenizer looks across a space between two characters that are none; runs between are units.
-UNIT_EDGE = re.compile(r"(?<=\S)(?= \S)")
+#: Neither tokenizer looks across a space between two characters that are none: units are what stands between such spaces.
+UNIT_EDGE = re.compile(r"(?<=\S) (?=\S)")
+
+
+MISSING = object()
+
+
+def units_of(text: str) -> list[str]:
+    """The units of a text, without the space before each (the first one's is put there)."""
+    parts = text.split(" ")
+    if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
+        return parts
+    first, *others = UNIT_EDGE.split(f" {text}")
+    return [first[1:], *others]
 
 
 class Unit(NamedTuple):
@@ -81,20 +93,20 @@ class Aligner:
         self._older: dict[str, Unit | None] = {}
 
     def a_ids(self, unit: str) -> list[int]:
-        """The first tokenizer's ids."""
+        """The first tokenizer's ids of a space and the unit."""
         if self.quick and len(unit) <= SHORT:
-            return self.quick.encode_ordinary(unit)
-        return self.a.encode(unit, add_special_tokens=False).ids
+            return self.quick.encode_ordinary(f" {unit}")
+        return self.a.encode(f" {unit}", add_special_tokens=False).ids
 
     def b_ids(self, units: list[str]) -> list[list[int]]:
-        """The second tokenizer's ids of texts that begin with the space that it puts there itself."""
-        found = self.b.encode([u[1:] for u in units], num_threads=1)
-        return [f if len(u) > 1 else [self.space] for u, f in zip(units, found)]
+        """The second tokenizer's ids of units, which it puts a space before itself."""
+        found = self.b.encode(units, num_threads=1)
+        return [f if u else [self.space] for u, f in zip(units, found)]
 
     def aligned(self, unit: str, a: list[int], b: list[int]) -> Unit | None:
-        """The alignment of a text that begins with a space; none if the tokens' bytes are not the text's."""
+        """The alignment of a space and the unit; none if the tokens' bytes are not the text's."""
         a_bytes, b_bytes = [self.a_bytes[n] for n in a], [self.b_bytes[n] for n in b]
-        if not b"".join(a_bytes) == b"".join(b_bytes) == unit.encode("utf-8", "replace"):
+        if not b"".join(a_bytes) == b"".join(b_bytes) == b" " + unit.encode("utf-8", "replace"):
             return None
         links, groups = [], []
         i = j = i_from = j_from = 0
@@ -102,7 +114,8 @@ class Aligner:
         while i < len(a):
             links.append(a[i] << 32 | b[j])
             if ahead == 0:
-                groups.append(f"{','.join(map(str, a[i_from : i + 1]))}|{','.join(map(str, b[j_from : j + 1]))}")
+                one = i == i_from and j == j_from
+                groups.append(f"{a[i]}|{b[j]}" if one else f"{','.join(map(str, a[i_from : i + 1]))}|{','.join(map(str, b[j_from : j + 1]))}")
                 i, j = i + 1, j + 1
                 i_from, j_from = i, j
                 if i < len(a):
@@ -117,19 +130,20 @@ class Aligner:
 
     def texts(self, texts: list[str | None]) -> list[list[Unit]]:
         """The aligned units of whole texts; none for a null or empty one, and for one whose tokens' bytes differ."""
-        split = [UNIT_EDGE.split(f" {t}") if t else [] for t in texts]
+        split = [units_of(t) if t else [] for t in texts]
         found: dict[str, Unit | None] = {}
         new = []
         for units in split:
-            for u in units:
-                if u not in found:
-                    found[u] = None
-                    for known in (self._known, self._older):
-                        if u in known:
-                            found[u] = self._known[u] = known[u]
-                            break
-                    else:
+            for u in set(units).difference(found):
+                known = self._known.get(u, MISSING)
+                if known is MISSING:
+                    known = self._older.get(u, MISSING)
+                    if known is MISSING:
+                        known = None
                         new.append(u)
+                    else:
+                        self._known[u] = known
+                found[u] = known
         for u, b in zip(new, self.b_ids(new) if new else []):
             found[u] = self.aligned(u, self.a_ids(u), b)
             if len(u) <= SHORT:
