@@ -7,27 +7,21 @@ falling score, then ordinal.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from palisade.functions import text
+from palisade.operators import inverted
 from palisade.sources.scratch import staged
 
 EMBEDDING_SIZE = 256
 #: Queries that one pass compares with all rows.
 QUERY_BLOCK = 4096
-#: Passes over the rows; beyond that, queries and rows meet in a join.
-MOST_BLOCKS = 64
-#: Passages whose hits are counted at once, and winners kept a query (times top k) before they are cut again.
-PASSAGES = 256
-HELD = 8
 
 
 class RetrieverError(Exception):
@@ -53,97 +47,19 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return terms.select("query_id", F.size("terms").cast("long").alias("n_terms"), F.explode("terms").alias("token"))
 
 
-def _best_hits(vocabulary: list[str], starts: np.ndarray, askers: np.ndarray, n_queries: int, top_k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(query number, ordinal, key, hits) of the best passages of each query among ``batches`` (ordinal, key, tokens).
-
-    ``askers[starts[v]:starts[v + 1]]`` are the queries that have token v.
-    """
-    known = pa.array(vocabulary, pa.string())
-    least = np.zeros(n_queries, np.int64)
-    held: list[np.ndarray] = [np.empty(0, np.int64)] * 4
-
-    def cut(found: list[np.ndarray]) -> list[np.ndarray]:
-        by = np.lexsort((found[2], found[1], -found[3], found[0]))
-        q = found[0][by]
-        first = np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]], np.arange(len(q)), 0)) if len(q) else by
-        place = np.arange(len(q)) - first
-        edge = place == top_k - 1
-        least[q[edge]] = found[3][by][edge]
-        return [f[by[place < top_k]] for f in found]
-
-    for whole in batches:
-        for at in range(0, whole.num_rows, PASSAGES):
-            b = whole.slice(at, PASSAGES)
-            lists = b.column(2)
-            ids = pc.index_in(lists.flatten(), value_set=known)
-            row = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-            hit = ids.is_valid().to_numpy(zero_copy_only=False)
-            ids, row = ids.drop_null().to_numpy().astype(np.int64), row[hit]
-            size = starts[ids + 1] - starts[ids]
-            place = np.repeat(starts[ids] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(ids) else ids
-            hits = np.bincount(np.repeat(row, size) * n_queries + askers[place], minlength=0)
-            cell = np.flatnonzero(hits)
-            q, r, n = cell % n_queries, cell // n_queries, hits[cell]
-            keep = n >= least[q]
-            ordinal, key = b.column(0).to_numpy(), b.column(1).to_numpy()
-            new = [q[keep], ordinal[r[keep]], key[r[keep]], n[keep]]
-            held = [np.concatenate(x) for x in zip(held, new)]
-            if len(held[0]) > HELD * top_k * n_queries:
-                held = cut(held)
-    yield tuple(cut(held))
-
-
 def overlap_best(queries: DataFrame, corpus: DataFrame, top_k: int = 5) -> DataFrame:
     """``(query_id, rank, ordinal, key, hits, n_terms, score)``: the first ``top_k`` passages of each query by token overlap.
 
     ``key`` is a hash of the content, which tells apart rows that share an
-    ordinal. The stated queries go through all passages in blocks of
-    ``QUERY_BLOCK``: a passage is tokenised once a block where it is read, and each task passes
-    on its ``top_k`` of a query, so nothing but winners is shuffled. More than
-    ``MOST_BLOCKS`` blocks of queries meet the passages in a join on the token
-    instead, with the same result.
+    ordinal. The corpus is indexed for this call; see ``inverted.search``, and
+    ``inverted.StoredIndex`` for an index that stays.
 
     Queries without content tokens, and passages without a hit, have no row.
     Rows with a null query_id, query, ordinal or content match nothing; a query_id
     should be there once.
     """
     _checked(top_k)
-    spark = corpus.sparkSession
-    asked = staged(queries.where("query_id is not null").select("query_id", text.token_set(F.col("query")).alias("terms")).where(F.size("terms") > 0), "queries")
-    rows = corpus.where("ordinal is not null").select(F.col("ordinal").cast("long").alias("ordinal"), F.xxhash64("content").alias("key"), text.token_set(F.col("content")).alias("terms")).where(F.size("terms") > 0)
-    kind = asked.schema["query_id"].dataType
-    order = [F.col("score").desc(), F.col("ordinal").asc(), F.col("key").asc()]
-    score = F.bround(F.col("hits") / F.col("n_terms"), 4)
-    if asked.count() > MOST_BLOCKS * QUERY_BLOCK:
-        terms = asked.select("query_id", F.size("terms").cast("long").alias("n_terms"), F.explode("terms").alias("token"))
-        index = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "ordinal", "key", F.explode("terms").alias("token"))
-        hits = index.join(terms, "token").groupBy("query_id", "n_terms", "row", "ordinal", "key").agg(F.count("*").alias("hits")).drop("row")
-        return ranked(hits.withColumn("score", score), top_k, order)
-    found = spark.createDataFrame([], f"query_id {kind.simpleString()}, ordinal long, key long, hits long, n_terms long")
-    arrow = to_arrow_type(kind)
-    block: list = []
-
-    def compared(block: list) -> DataFrame:
-        who: dict[str, list[int]] = {}
-        for n, r in enumerate(block):
-            for t in r.terms:
-                who.setdefault(t, []).append(n)
-        size = np.array([0, *map(len, who.values())], np.int64)
-        shared = spark.sparkContext.broadcast((list(who), np.cumsum(size), np.array([n for x in who.values() for n in x], np.int64), [r.query_id for r in block], np.array([len(r.terms) for r in block], np.int64)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocabulary, starts, askers, ids, sizes = shared.value
-            for q, ordinal, key, hits in _best_hits(vocabulary, starts, askers, len(ids), top_k, batches):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, arrow).take(pa.array(q)), pa.array(ordinal), pa.array(key), pa.array(hits), pa.array(sizes[q])], ["query_id", "ordinal", "key", "hits", "n_terms"])
-
-        return rows.mapInArrow(run, found.schema)
-
-    for r in asked.toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            found, block = found.union(compared(block)), []
-    found = found.union(compared(block)) if block and top_k else found
-    return ranked(found.withColumn("score", score), top_k, order)
+    return inverted.search(queries, inverted.build(corpus), top_k).drop("part", "row")
 
 
 def overlap_topk(queries: DataFrame, corpus: DataFrame, top_k: int = 5) -> DataFrame:

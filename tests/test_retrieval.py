@@ -6,9 +6,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palisade.operators import rerank, retrieval
+from palisade.functions import text
+from palisade.operators import inverted, rerank, retrieval
+from palisade.plans import rag
 from palisade.settings import Settings
 from palisade.sources import corpus, vector_store
+from palisade.sources.scratch import staged
 
 CORPUS = [(0, "alpha beta"), (1, "alpha gamma"), (2, "alpha beta beta delta")]
 
@@ -35,21 +38,19 @@ def test_overlap(spark, chunks):
         retrieval.overlap_topk(asked(spark, "alpha"), chunks, -1)
 
 
-@pytest.mark.parametrize(("block", "most"), [(4096, 64), (3, 64), (4096, 0)])
-def test_overlap_against_brute_force(spark, monkeypatch, block, most):
-    """In one block of queries, in many, and by the join; with repeated rows, clashing columns, nulls and texts of no token."""
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
-    monkeypatch.setattr(retrieval, "MOST_BLOCKS", most)
-    monkeypatch.setattr(retrieval, "PASSAGES", 5)
-    monkeypatch.setattr(retrieval, "HELD", 1)
-    rng = random.Random(block + most)
+@pytest.mark.parametrize(("champions", "seeds", "extra", "telling"), [(64, 8, 2, 5000), (2, 1, 0, 5000), (3, 2, 1, 0)])
+def test_overlap_against_brute_force(spark, monkeypatch, champions, seeds, extra, telling):
+    """With short and long lists of first candidates; with repeated rows, clashing columns, nulls and texts of no token."""
+    for name, value in {"CHAMPIONS": champions, "SEEDS": seeds, "EXTRA": extra, "TELLING": telling, "SEED_TERMS": seeds}.items():
+        monkeypatch.setattr(inverted, name, value)
+    rng = random.Random(champions)
     words = [f"w{n}x" for n in range(12)] + ["the", "ab"]
     some = lambda: " ".join(rng.choices(words, k=rng.randint(0, 9)))
     rows = [(n, some(), "s", 9, 0.5, "x") for n in range(40)] + [(None, "w1x", "s", 9, 0.5, "x"), (41, None, "s", 9, 0.5, "x")]
     rows += [rows[3], rows[3], (3, rows[4][1], "s", 9, 0.5, "x")]
     corpus = spark.createDataFrame(rows, "ordinal long, content string, source string, rank int, score double, query_id string").repartition(3)
-    questions = [f"{some()} {some()}" for _ in range(10)] + ["", None]
-    tokens = lambda t: {w for w in (t or "").split() if w.startswith("w")}
+    questions = [f"{some()} {some()}" for _ in range(10)] + ["", None, "w1x unknown", "unknown"]
+    tokens = lambda t: {w for w in (t or "").split() if w.startswith(("w", "u"))}
     want = []
     for n, q in enumerate(questions):
         own = tokens(q)
@@ -63,6 +64,61 @@ def test_overlap_against_brute_force(spark, monkeypatch, block, most):
     assert retrieval.overlap_topk(asked(spark, "w1x"), corpus.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 2])
+def test_hits_that_round_to_one_score_are_ties(spark, partitions):
+    """Of 25,000 terms, 10,000 and 10,001 hits both score 0.4: the ordinal decides, however rows are dealt."""
+    terms = [f"t{n:05d}" for n in range(25000)]
+    rows = [(1, " ".join(terms[:10000]), "a"), (2, " ".join(terms[:10001]), "b"), (3, " ".join(terms[:9000]), "c")]
+    corpus = spark.createDataFrame(rows, "ordinal long, content string, source string").repartition(partitions)
+    best = retrieval.overlap_best(asked(spark, " ".join(terms)), corpus, 1).collect()
+    assert [(r.ordinal, r.hits, r.score) for r in best] == [(1, 10000, 0.4)]
+
+
+def test_few_pairs_are_checked(spark):
+    """At sf0.1 the filter leaves under a twentieth of all pairs of query and passage."""
+    sf = "/root/testdata/sf0.1"
+    docs = corpus.chunks(spark.read.parquet(f"{sf}/documents.parquet"), "text", "doc_id")
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'")
+    terms = staged(turns.select(F.xxhash64("conv_id", "turn").alias("query_id"), text.token_set(F.col("text")).alias("terms")).where(F.size("terms") > 0), "queries")
+    pairs = inverted.candidates(terms, inverted.build(docs), 5).count()
+    assert 0 < pairs < terms.count() * docs.count() / 20
+
+
+def test_stored_index(spark, tmp_path):
+    """Appended parts, merged parts and a fresh build give the same lists; texts are tokenised once; old readers go on."""
+    rng = random.Random(9)
+    words = [f"w{n}x" for n in range(40)]
+    rows = [(n, " ".join(rng.choices(words, k=rng.randint(1, 15))), f"s{n}", n * 2) for n in range(120)]
+    corpus = spark.createDataFrame(rows, "ordinal long, content string, source string, page int")
+    questions = asked(spark, *(" ".join(rng.choices(words, k=6)) for _ in range(15)))
+    columns = ["query_id", "rank", "ordinal", "content", "source", "hits", "n_terms", "score"]
+    want = sorted(map(tuple, retrieval.overlap_topk(questions, corpus, 5).select(columns).collect()))
+    index = inverted.StoredIndex(spark, str(tmp_path / "index"), buckets=3).create()
+    with pytest.raises(ValueError):
+        index.open()
+    for n in range(3):
+        index.append(corpus.where(F.col("ordinal") % 3 == n), "page")
+    before = index.open()
+    assert len(before.postings) == 3
+    assert sorted(map(tuple, index.topk(questions, 5).select(columns).collect())) == want
+    plan = index.spark.table(inverted.StoredIndex._table(index.parts()[0]["folder"])).join(spark.createDataFrame([("w1x",)], "token string").hint("merge"), "token")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the lists stay where they are
+    index.merge()
+    merged = index.open()
+    assert len(merged.postings) == 1 and merged.passages.count() == 120
+    assert sorted(map(tuple, index.topk(questions, 5).select(columns).collect())) == want
+    assert {(r.ordinal, r.page) for r in index.topk(questions, 5).collect()} <= {(o, p) for o, _, _, p in rows}
+    assert sorted((r.query_id, r["rank"], r.ordinal) for r in inverted.search(questions, before, 5).collect()) == [(q, r, o) for q, r, o, *_ in want]
+    # another session has no table of it yet
+    for p in index.parts():
+        spark.sql(f"DROP TABLE {inverted.StoredIndex._table(p['folder'])}")
+    again = inverted.StoredIndex(spark, str(tmp_path / "index"))
+    assert sorted(map(tuple, again.topk(questions, 5).select(columns).collect())) == want
+    by_index = rag.answer(questions.withColumnRenamed("query", "text"), corpus, top_k=2, retriever=again.retriever())
+    by_corpus = rag.answer(questions.withColumnRenamed("query", "text"), corpus, top_k=2)
+    assert sorted((r.query_id, r.answer) for r in by_index.collect()) == sorted((r.query_id, r.answer) for r in by_corpus.collect())
+
+
 def test_overlap_plan_has_no_cross_join(spark, chunks):
     plan = retrieval.overlap_best(asked(spark, "alpha beta"), chunks)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "WindowGroupLimit" in plan
