@@ -9,19 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palisade.functions import text
-from palisade.operators import inverted
+from palisade.operators import inverted, pivots
 from palisade.sources.scratch import staged
 
 EMBEDDING_SIZE = 256
-#: Queries that one pass compares with all rows.
-QUERY_BLOCK = 4096
 
 
 class RetrieverError(Exception):
@@ -116,42 +112,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, top_k: int = 5, digits: int = 6) -> DataFrame:
-    """Exact cosine top-k of ``queries(query_id, vector)`` over ``vectors(ordinal, vector, ...)``.
+    """Exact cosine top-k of ``queries(query_id, vector)`` over ``vectors(ordinal, vector, ...)``, with the rows' columns.
 
-    The stated queries go through all rows in blocks of ``QUERY_BLOCK``, which
-    bounds what is broadcast; each block is cut to its top k before the shuffle.
+    The rows are indexed for this call; see ``pivots``. Rows that share an ordinal
+    each bring their columns.
     """
     _checked(top_k)
-    rows = vectors.select(F.col("ordinal").cast("long").alias("ordinal"), F.col("vector").cast("array<double>").alias("vector"))
-    out = None
-    block: list = []
-
-    def compared(block: list) -> DataFrame:
-        ids = [r[0] for r in block]
-        q = np.array([r[1] for r in block], float)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def run(batches):
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                keep = b.filter(b.column(1).is_valid())
-                v = np.array(keep.column(1).to_pylist(), float).reshape(keep.num_rows, -1)
-                o = keep.column(0).to_numpy()
-                if not len(o):
-                    continue
-                s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T, digits) + 0.0
-                for i, row in enumerate(s):  # ties by ordinal
-                    best = np.lexsort((o, -row))[:top_k]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(best), pa.int64()), pa.array(o[best]), pa.array(row[best])], ["query_id", "ordinal", "score"])
-
-        return rows.mapInArrow(run, "query_id long, ordinal long, score double")
-
-    for r in queries.where("vector is not null").select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            out, block = compared(block) if out is None else out.union(compared(block)), []
-    if block or out is None:
-        last = compared(block) if block else rows.sparkSession.createDataFrame([], "query_id long, ordinal long, score double")
-        out = last if out is None else out.union(last)
-    return ranked(out, top_k).join(vectors.drop("vector", "score", "rank"), "ordinal")
+    found = pivots.search(queries, pivots.build(vectors, max(top_k, 1)), top_k, digits)
+    return found.join(vectors.drop("vector", "score", "rank", "query_id"), "ordinal")

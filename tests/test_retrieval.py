@@ -3,11 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from palisade.functions import text
-from palisade.operators import inverted, rerank, retrieval
+from palisade.operators import inverted, pivots, rerank, retrieval
 from palisade.plans import rag
 from palisade.settings import Settings
 from palisade.sources import corpus, vector_store
@@ -159,6 +160,48 @@ def test_vector_topk(spark):
     assert listed(retrieval.vector_topk(q.limit(0), v, 3)) == []
 
 
+@pytest.mark.parametrize(("page", "part", "asked_", "each"), [(512, 64, 1024, 32), (7, 2, 5, 4)])
+def test_vector_topk_against_brute_force(spark, monkeypatch, page, part, asked_, each):
+    """Clusters, copies, ties, zeros, nulls; one page a cell, or many pages, parts and blocks."""
+    for name, value in {"PAGE": page, "PART": part, "ASKED": asked_, "EACH": each}.items():
+        monkeypatch.setattr(pivots, name, value)
+    rng = np.random.default_rng(page)
+    centers = rng.normal(size=(5, 6))
+    rows = [(n, [float(x) for x in centers[rng.integers(5)] + rng.normal(size=6) * rng.choice([0.0, 0.05, 1.0])]) for n in range(300)]
+    rows += [(300 + n, rows[1][1]) for n in range(40)] + [(400 + n, [0.0] * 6) for n in range(7)] + [(500, None), (None, rows[1][1]), (501, [1e200] + [0.0] * 5), (502, [1.0])]
+    v = spark.createDataFrame(rows, "ordinal long, vector array<double>").repartition(3)
+    q = [(n, [float(x) for x in rng.normal(size=6)]) for n in range(30)] + [(100 + n, rows[n][1]) for n in range(10)] + [(200, [0.0] * 6), (201, None), (None, rows[0][1])]
+    want = []
+    for i, x in q:
+        if i is None or x is None:
+            continue
+        x, scored = np.array(x), []
+        for o, y in rows:
+            if o is not None and y is not None:
+                y = np.pad(np.array(y), (0, 6 - len(y)))
+                y = y / (np.abs(y).max() or 1)
+                norm = np.linalg.norm(x) * np.linalg.norm(y)
+                scored.append((-round(float(x @ y / norm), 6) + 0.0 if norm else 0.0, o))
+        want += [(i, r, o) for r, (_, o) in enumerate(sorted(scored)[:5], 1)]
+    found = retrieval.vector_topk(spark.createDataFrame(q, "query_id long, vector array<double>"), v, 5).collect()
+    assert sorted((r.query_id, r["rank"], r.ordinal) for r in found) == sorted(want)
+    assert retrieval.vector_topk(spark.createDataFrame(q, "query_id long, vector array<double>"), v.limit(0), 5).count() == 0
+    only_zeros = retrieval.vector_topk(spark.createDataFrame(q[:1], "query_id long, vector array<double>"), v.where("ordinal between 400 and 406"), 2)
+    assert [(r.ordinal, r.score) for r in only_zeros.orderBy("rank").collect()] == [(400, 0.0), (401, 0.0)]
+
+
+def test_few_vectors_are_visited(spark):
+    """Of clustered rows, queries compare themselves with few."""
+    rng = np.random.default_rng(1)
+    centers = rng.normal(size=(20, 16))
+    rows = [(n, [float(x) for x in centers[n % 20] + rng.normal(size=16) * 0.05]) for n in range(4000)]
+    v = spark.createDataFrame(rows, "ordinal long, vector array<double>")
+    q = v.where("ordinal < 200").withColumnRenamed("ordinal", "query_id")
+    visited = spark.sparkContext.accumulator(0)
+    assert pivots.search(q, pivots.build(v, 5), 5, visited=visited).count() == 1000
+    assert visited.value < 0.15 * 200 * 4000
+
+
 def test_payload(spark):
     rows = [("1", 0.5, {"content": "c", "text": "t", "source": "s", "k": "v"}), ("2", 0.4, {"text": "t", "content": ""}), ("3", 0.1, None)]
     df = spark.createDataFrame(rows, "id string, score double, payload map<string,string>")
