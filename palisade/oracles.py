@@ -126,7 +126,7 @@ refused AS (SELECT *, CASE WHEN severity = 'critical' THEN {_CRISIS} ELSE {_char
 
 TURNS = """
 turns AS (
-  SELECT conv_id * 100000 + turn AS query_id, conv_id, turn, text, recorded FROM (
+  SELECT conv_id * 4294967296 + turn AS query_id, conv_id, turn, text, recorded FROM (
     SELECT *, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS recorded FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   WHERE role = 'user')"""
 def _scores(turns: str, corpus: str) -> str:
@@ -298,3 +298,4 @@ FROM (
   SELECT conv_id, turn, coalesce(list(u) OVER (PARTITION BY conv_id, part ORDER BY turn ROWS BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING), []) AS users FROM (
     SELECT *, count(*) FILTER (turn % 4 = 0 OR turn % 5 = 0) OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM exchanges))""",
 }
+ORACLES["indexed_retrieve_topk"] = ORACLES["overlap_retrieve_topk"]

@@ -6,18 +6,24 @@ ever sees them, and come back with canned answers at the end.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from palisade.functions import fixed, guards
+from palisade.functions import fixed, guards, replies
 from palisade.operators import memory as mem
 from palisade.operators.retrieval import overlap_topk
 from palisade.settings import Settings
 from palisade.sources import providers
 from palisade.sources.scratch import staged
 
+#: Turns whose replies a task holds before it passes them on.
+TURNS_HELD = 64
 SOURCES = "array<struct<rank:int,ordinal:bigint,content:string,source:string,score:double>>"
 
 
@@ -137,30 +143,61 @@ def replay(turns: DataFrame, corpus: DataFrame, settings: Settings | None = None
     return rows.withColumn("messages", F.when(F.col("safe_query").isNotNull(), full)).withColumnRenamed("query_text", "text")
 
 
-def converse(turns: DataFrame, corpus: DataFrame, provider: providers.Provider, settings: Settings | None = None, top_k: int = 5) -> DataFrame:
+def converse(
+    turns: DataFrame,
+    corpus: DataFrame,
+    provider: providers.Provider,
+    settings: Settings | None = None,
+    top_k: int = 5,
+    retriever: Callable[..., DataFrame] = overlap_topk,
+    **options: Any,
+) -> DataFrame:
     """Answer ``turns(query_id, conv_id, turn, text)`` with a live provider, whose prompts hold earlier answers.
 
-    All conversations advance by one turn a round, so the rounds are as many as
-    the longest conversation has turns, and each is a plan over all of them.
+    Input guard and retrieval are one plan over all turns. Then each conversation is a
+    sorted stream in one task, which calls the provider turn after turn and keeps the
+    last ``memory_window`` turns that were answered; so a long conversation is one job
+    and is never held whole. Turns of one number follow each other by their
+    texts, then ids; a null conv_id is one conversation. A task that is lost and
+    run again calls the provider again. Rows with a null text are left out.
     """
     settings = settings or Settings()
-    from pyspark.sql import Window as W
-
-    order = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
-    turns = staged(turns.withColumn("_round", order), "turns")
-    rounds = turns.agg(F.max("_round")).first()[0] or 0
-    state = turns.sparkSession.createDataFrame([], f"conv_id {dict(turns.dtypes)['conv_id']}, memory {mem.TURNS}")
-    out = None
-    for n in range(1, rounds + 1):
-        now = turns.where(F.col("_round") == n).join(state, "conv_id", "left").withColumn("memory", F.coalesce("memory", F.array().cast(mem.TURNS)))
-        done = staged(answer(now, corpus, settings, top_k, provider, memory="memory"), "round")
-        grown = F.concat("memory", F.array(F.struct(F.col("safe_query").alias("user"), F.col("answer").alias("assistant"))))
-        w = settings.memory_window
-        kept = F.slice(grown, F.greatest(F.size(grown) - w + 1, F.lit(1)), w) if w else F.array().cast(mem.TURNS)
-        new = done.select("conv_id", F.when(F.col("was_blocked"), F.col("memory")).otherwise(kept).alias("memory"))
-        state = staged(state.join(new.select("conv_id"), "conv_id", "left_anti").unionByName(new), "memory")
-        out = done if out is None else out.unionByName(done)
-    return turns if out is None else out.drop("_round")
+    checked = guarded(turns.where("text is not null"), settings)
+    safe = retrieved(checked, corpus, top_k, retriever)
+    rows = safe.unionByName(checked.where("not input.is_safe"), allowMissingColumns=True)
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    rows = rows.withColumn("_own", F.when(F.col("safe_query").isNotNull(), message("user", user_turn(F.col("safe_query"), F.col("sources")))))
+    schema = rows.drop("_own", "memory", "messages", "draft").withColumns({"memory": F.lit(None).cast(mem.TURNS), "messages": F.lit(None).cast(providers.MESSAGES), "draft": F.lit(None).cast("string")}).schema
+    names = [f.name for f in schema.fields[:-3]]
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields[-3:]]
+
+    def talk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system = {"role": "system", "content": fixed.SYSTEM_PROMPT}
+        now, kept = object(), deque(maxlen=settings.memory_window)
+        for whole in batches:
+            # a few turns at a time: their replies go on while the provider is asked for more
+            for at in range(0, whole.num_rows, TURNS_HELD):
+                b = whole.slice(at, TURNS_HELD)
+                out = []
+                for conv, query, own in zip(*(b.column(c).to_pylist() for c in ("conv_id", "safe_query", "_own"))):
+                    if conv != now:
+                        now, kept = conv, deque(maxlen=settings.memory_window)
+                    memory, messages, draft = list(kept), None, None
+                    if own is not None:
+                        past = [{"role": r, "content": t[r]} for t in memory for r in ("user", "assistant")]
+                        messages = [system, *past, own]
+                        draft = provider.complete(messages, **options).content
+                        answer, was_blocked = replies.answer(draft, query, settings.output_guard_enabled)
+                        if not was_blocked:
+                            kept.append({"user": query, "assistant": answer})
+                    out.append((memory, messages, draft))
+                new = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *new], schema.names)
+
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "text", "query_id")
+    talked = staged(ordered.drop("memory", "messages", "draft").mapInArrow(talk, schema), "conversations")
+    done = judged(talked.where("input.is_safe"), settings)
+    return done.unionByName(blocked(talked.where("not input.is_safe"), done))
 
 
 def pieces(drafts: DataFrame, settings: Settings | None = None) -> DataFrame:

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions import emergency, fixed, guards, text
-from palisade.operators import memory, rerank, retrieval
+from palisade.operators import inverted, memory, rerank, retrieval
 from palisade.plans import rag
 from palisade.settings import Settings
 from palisade.sources import providers
 from palisade.sources.corpus import chunks, from_payload
-from palisade.sources.scratch import staged
+from palisade.sources.scratch import folder, staged
 
 SETTINGS = Settings()
 WINDOW = 2
@@ -69,7 +69,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     order = W.partitionBy("conv_id").orderBy("turn")
     rows = _table(spark, sf_dir, "conversations").withColumn("recorded", F.when(F.lead("role").over(order) == "assistant", F.lead("text").over(order)))
-    return rows.where("role = 'user'").select((F.col("conv_id") * 100000 + F.col("turn")).alias("query_id"), "conv_id", "turn", "text", "recorded")
+    return rows.where("role = 'user'").select((F.col("conv_id") * 2**32 + F.col("turn")).alias("query_id"), "conv_id", "turn", "text", "recorded")
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,6 +149,15 @@ def overlap_retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", F.col("rank").cast("long").alias("rank"), "ordinal", "hits", "n_terms", "score")
 
 
+def indexed_retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lists from a stored index that all documents came to in three deliveries, two of which were merged."""
+    docs, delivery = documents(spark, sf_dir), F.pmod(F.col("ordinal"), F.lit(3))
+    index = inverted.StoredIndex(spark, folder(spark, "index")).create()
+    index.append(docs.where(delivery == 0)).append(docs.where(delivery == 1)).merge().append(docs.where(delivery == 2))
+    out = index.topk(_asked(spark, sf_dir), 5)
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "ordinal", "hits", "n_terms", "score")
+
+
 def lexical_rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _asked(spark, sf_dir)
     out = rerank.lexical(asked, retrieval.overlap_topk(asked, documents(spark, sf_dir), 10), 3)
@@ -313,7 +322,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         content_tokens_stats, pii_detect, pii_detect_documents, pii_redact, input_sanitize, injection_rules, harmful_rules, emergency_signals, emergency_verdict, input_guard,
-        overlap_retrieve_topk, lexical_rerank_topk, rrf_fusion, vector_topk, tf_hash_embedding, claims_extract, hallucination_verdict, grounding_confidence, toxicity_screen,
+        overlap_retrieve_topk, indexed_retrieve_topk, lexical_rerank_topk, rrf_fusion, vector_topk, tf_hash_embedding, claims_extract, hallucination_verdict, grounding_confidence, toxicity_screen,
         disclaimer_inject, output_guard, memory_window, memory_messages, memory_stored, prompt_assembly, pipeline_replay, stream_pieces,
         guarded_answers, blocked_stream, guards_switched, message_renderings, payload_passages, memory_cleared,
     )

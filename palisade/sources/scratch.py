@@ -29,6 +29,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return LOCAL_SCRATCH
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the scratch folder, which goes with ``release`` or at the end of the process."""
+    path = f"{scratch_dir(spark)}/palisade-{label}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
@@ -37,8 +44,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     cannot change between two uses.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/palisade-{label}-{uuid.uuid4().hex}"
-    _written.add(path)
+    path = folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
