@@ -24,13 +24,21 @@ def guard_stream(prompts: DataFrame, settings: Settings | None = None) -> DataFr
     return prompts.withColumn("input", guards.input_guard(F.col("text"), s.input_guard_enabled, s.emergency_detection_enabled))
 
 
+def milliseconds(duration: str) -> int:
+    """A duration such as "10 minutes"."""
+    return max(1, round(pd.Timedelta(duration).total_seconds() * 1000))
+
+
 def memory_stream(turns: DataFrame, window: int = 10, idle: str | None = None) -> DataFrame:
     """``(conv_id, turn, memory)``: what is remembered before each of a stream of ``turns(conv_id, turn, user, assistant, accepted)``.
 
     The state of a conversation is its last ``window`` accepted turns. With
     ``idle`` (a duration such as "1 hour" of processing time) a silent
-    conversation is forgotten; by default none is.
+    conversation is forgotten; by default none is. Turns are taken in the order
+    of the micro-batches, and within one by number, then texts; where turns may come in
+    any order see ``answers.ordered_memory_stream``.
     """
+    patience = milliseconds(idle) if idle else None
     if window < 0:
         raise ValueError("window must not be negative")
 
@@ -39,15 +47,15 @@ def memory_stream(turns: DataFrame, window: int = 10, idle: str | None = None) -
             state.remove()
             return
         kept = [{"user": u, "assistant": a} for u, a in zip(*state.get)] if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("turn")
+        rows = pd.concat(list(batches)).sort_values(["turn", "user", "assistant"], na_position="first")
         out = []
-        for r in rows.itertuples():
-            out.append((key[0], r.turn, list(kept)))
-            if r.accepted and window:
-                kept = [*kept, {"user": r.user, "assistant": r.assistant}][-window:]
+        for turn, user, assistant, accepted in zip(*(rows[c] for c in ("turn", "user", "assistant", "accepted"))):
+            out.append((key[0], turn, list(kept)))
+            if accepted and window:
+                kept = [*kept, {"user": user, "assistant": assistant}][-window:]
         state.update(([t["user"] for t in kept], [t["assistant"] for t in kept]))
-        if idle:
-            state.setTimeoutDuration(idle)
+        if patience:
+            state.setTimeoutDuration(patience)
         yield pd.DataFrame(out, columns=["conv_id", "turn", "memory"])
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
