@@ -8,6 +8,7 @@ text without any phrase costs a few substring searches.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,34 +19,61 @@ from palisade.functions.patterns import SPACE_CLASS, jvm, let, matches
 RESULT = "struct<is_emergency:boolean,severity:string,category:string,message:string,emergency_contacts:array<string>>"
 
 
-def _lexicon() -> Column:
-    rows = [(c, t, p, jvm(rf"\b{re.escape(p)}\b", True)) for c, tiers in fixed.SIGNALS.items() for t, ps in tiers.items() for p in ps]
+#: Letters of a word that are looked at from its end: one more than the longest word that negates.
+_SHOWN = max(map(len, fixed.NEGATIONS)) + 1
+#: A reversed text's last two words, each cut to as many letters, and a character if the text ends outside a word.
+_TAIL = rf"(?s)^([^a-z']?)[^a-z']*([a-z']{{0,{_SHOWN}}})[a-z']*[^a-z']*([a-z']{{0,{_SHOWN}}}).*$"
+
+Lexicon = Iterable[tuple[str, str, str]]
+
+
+def fixed_lexicon() -> list[tuple[str, str, str]]:
+    """Rows (category, tier, phrase) of the fixed phrases."""
+    return [(c, t, p) for c, tiers in fixed.SIGNALS.items() for t, ps in tiers.items() for p in ps]
+
+
+def _literal(lexicon: Lexicon) -> Column:
     names = ("category", "tier", "phrase", "pattern")
+    rows = [(c, t, p, jvm(rf"\b{re.escape(p)}\b", True)) for c, t, p in lexicon]
     return F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, r))) for r in rows))
 
 
-def _negated(prefix: Column) -> Column:
+def _tail(prefix: Column) -> Column:
+    """What of a text can still matter to a negation after it: the ends of its last two words, and whether it ends within the last."""
+    return F.reverse(F.regexp_replace(F.reverse(prefix), _TAIL, "$1$2 $3"))
+
+
+def _negated(tail: Column) -> Column:
     """Whether one of the last two words before a match negates it."""
-    words = F.regexp_extract_all(prefix, F.lit("([a-z']+)"), F.lit(1))
-    last = let(words, lambda w: F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), F.lit(2)))
-    return F.exists(last, lambda w: w.isin(fixed.NEGATIONS) | w.endswith("n't"))
+    return F.exists(F.regexp_extract_all(tail, F.lit("([a-z']+)"), F.lit(1)), lambda w: w.isin(fixed.NEGATIONS) | w.endswith("n't"))
+
 
+def signals(text: Column, lexicon: Lexicon | None = None) -> Column:
+    """``array<struct<category, tier, phrase, n>>``: phrases with n occurrences that are not negated.
 
-def signals(text: Column) -> Column:
-    """``array<struct<category, tier, phrase, n>>``: phrases with n occurrences that are not negated."""
+    ``lexicon`` may be another table of phrases (lower case), as rows (category,
+    tier, phrase); it becomes a literal. A phrase's occurrences are one pass over the
+    pieces between them, which carries the ends of the last two words: time grows
+    with the length of the text, however often a phrase is in it.
+    """
     low = F.lower(text)
+    rows = fixed_lexicon() if lexicon is None else list(lexicon)
 
     def count(p: Column) -> Column:
-        def of(pieces: Column) -> Column:
-            ends = F.sequence(F.lit(1), F.size(pieces) - 1)
-            free = F.filter(ends, lambda i: ~_negated(F.call_function("array_join", F.slice(pieces, F.lit(1), i), p["phrase"])))
-            return F.when(F.size(pieces) > 1, F.size(free)).otherwise(0)
-
-        return let(F.split(low, p["pattern"], -1), of)
-
-    present = F.filter(_lexicon(), lambda p: F.contains(low, p["phrase"]))
+        def step(a: Column, piece: Column) -> Column:
+            # the phrase itself stands between a piece and the one before
+            tail = _tail(F.concat(a["tail"], F.when(a["first"], F.lit("")).otherwise(p["phrase"]), piece))
+            return let(tail, lambda t: F.struct(t.alias("tail"), F.lit(False).alias("first"), (a["n"] + F.when(_negated(t), 0).otherwise(1)).alias("n")))
+
+        start = F.struct(F.lit("").alias("tail"), F.lit(True).alias("first"), F.lit(0).alias("n"))
+        before = lambda pieces: F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+        return let(F.split(low, p["pattern"], -1), lambda pieces: F.aggregate(before(pieces), start, step, lambda a: a["n"]))
+
+    if not rows:
+        return F.when(text.isNotNull(), F.array().cast("array<struct<category:string,tier:string,phrase:string,n:int>>"))
+    present = F.filter(_literal(rows), lambda p: F.contains(low, p["phrase"]))
     counted = F.transform(present, lambda p: F.struct(p["category"].alias("category"), p["tier"].alias("tier"), p["phrase"].alias("phrase"), count(p).alias("n")))
-    return F.filter(counted, lambda s: s["n"] > 0)
+    return F.when(text.isNotNull(), F.filter(counted, lambda s: s["n"] > 0))
 
 
 def _total(found: Column, keep) -> Column:

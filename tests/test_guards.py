@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,34 @@ def test_two_digits(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert all(r.s == f"{r.v:.2f}" for r in df.select("v", guards.two_digits(F.col("v")).alias("s")).collect())
     assert len(_HALVES) == 100
+
+
+def test_signals_against_a_plain_scan(spark):
+    """Random texts of phrases, negations, apostrophes and words that run into them."""
+    rng = random.Random(8)
+    parts = ["sick", "chest pain", "give up", "no", "not", "don't", "isn't", "never", "'", "x", "  ", "\n", "very", "sick's", "'sick", "sick-", "without", "notx", "42", "é", "self-harm"]
+    lexicon = [("a", "low", "sick"), ("a", "high", "chest pain"), ("b", "low", "give up"), ("b", "high", "self-harm")]
+    rows = [(n, "".join(rng.choice(parts) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randint(0, 14)))) for n in range(1500)] + [(9999, None), (9998, "a" * 5000 + "n't sick")]
+    df = spark.createDataFrame(rows, "n long, text string").withColumn("s", emergency.signals(F.col("text"), lexicon))
+    hits = 0
+    for r in df.collect():
+        want = []
+        for c, t, p in lexicon if r.text is not None else []:
+            free = 0
+            for m in re.finditer(rf"\b{re.escape(p)}\b", r.text.lower()):
+                words = re.findall("[a-z']+", r.text.lower()[: m.start()])[-2:]
+                free += not any(w in fixed.NEGATIONS or w.endswith("n't") for w in words)
+            if free:
+                want.append((c, t, p, free))
+        assert (None if r.text is None else want) == (None if r.s is None else [tuple(x) for x in r.s]), r.text
+        hits += len(want)
+    assert hits > 800
+    assert spark.createDataFrame([("sick",)], "text string").select(emergency.signals(F.col("text"), []).alias("s")).first().s == []
+
+
+def test_signals_in_time_by_the_length(spark):
+    rows = [("sick " * 100_000,), ("sick'" * 50_000,), ("not sick " * 50_000,)]
+    began = time.perf_counter()
+    found = [r.s for r in spark.createDataFrame(rows, "text string").select(emergency.signals(F.col("text")).alias("s")).collect()]
+    assert [x.n for s in found[:1] for x in s] == [100_000] and found[2] == []
+    assert time.perf_counter() - began < 15
