@@ -192,11 +192,26 @@ def test_near_others():
 
 
 def test_bands():
-    assert simhash.bands_for(0) == (16, simhash.bands_for(100)[1])
-    assert simhash.bands_for(10**9)[0] == 30 + simhash.SPARE and simhash.bands_for(10**9)[1] > simhash.bands_for(10**6)[1]
+    assert simhash.bands_for(30) > simhash.bands_for(24) > simhash.bands_for(24, 0.9) and simhash.bands_for(24, recall=0.99) > simhash.bands_for(24)
     assert abs(simhash.differing(1.0)) < 1e-6 and 0.15 < simhash.differing(0.8) < 0.153
 
 
+def test_other_documents_change_no_decision(spark):
+    """Families at similarities from 0.6 to 0.95, alone and among many unlike texts."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    own = []
+    for family in range(40):
+        base = [word() for _ in range(120)]
+        for copy in range(3):
+            own.append((1000 * family + copy, " ".join(w if rng.random() > 0.002 * family else word() for w in base), "en", "s"))
+    others = [(10**6 + n, " ".join(word() for _ in range(30)), "en", "s") for n in range(3000)]
+    alone = {r.doc_id for r in simhash.keep_one(data.documents(spark, own)).collect()}
+    among = {r.doc_id for r in simhash.keep_one(data.documents(spark, own + others)).collect()}
+    assert 40 < len(alone) < 120
+    assert {d for d in among if d < 10**6} == alone and len(among) == len(alone) + 3000
+
+
 def plain_lines(rows):
     """Kept text and removed line numbers of each row; rows of one id and text count once."""
     order = sorted({(r[0] is None, r[0] or 0, xxhash.xxh64_intdigest((r[1]).encode(), 42) if r[1] is not None else 0, r[0], r[1]) for r in rows}, key=lambda x: x[:2] + (x[2] - 2**64 if x[2] >> 63 else x[2],))
