@@ -206,8 +206,8 @@ def test_other_documents_change_no_decision(spark):
         for copy in range(3):
             own.append((1000 * family + copy, " ".join(w if rng.random() > 0.002 * family else word() for w in base), "en", "s"))
     others = [(10**6 + n, " ".join(word() for _ in range(30)), "en", "s") for n in range(3000)]
-    alone = {r.doc_id for r in simhash.keep_one(data.documents(spark, own)).collect()}
-    among = {r.doc_id for r in simhash.keep_one(data.documents(spark, own + others)).collect()}
+    alone = {r.doc_id for r in simhash.keep_one(documents(spark, own)).collect()}
+    among = {r.doc_id for r in simhash.keep_one(documents(spark, own + others)).collect()}
     assert 40 < len(alone) < 120
     assert {d for d in among if d < 10**6} == alone and len(among) == len(alone) + 3000
 
