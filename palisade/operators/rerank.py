@@ -46,7 +46,8 @@ def reciprocal_rank_fusion(lists: Sequence[DataFrame], top_k: int = 3, k: int =
     Of each list the first ``fetch_k`` count; ``candidates``, if given, is a last
     list that counts whole. Equal contents are one passage, which the first list
     (then rank) that has it stands for; one that is twice in a list adds twice.
-    Scores have six digits; ties go to what was seen first.
+    Scores have six digits; ties go to what was seen first. Ranks are those of a
+    ranked list: each once a query.
     """
     if not lists:
         raise RerankerError("at least one retriever is needed")
@@ -55,8 +56,9 @@ def reciprocal_rank_fusion(lists: Sequence[DataFrame], top_k: int = 3, k: int =
     for n, d in enumerate(parts):
         d = d.select("query_id", F.lit(n).alias("list_no"), F.col("rank").cast("int").alias("list_rank"), "content", "source")
         rows = d if rows is None else rows.unionByName(d)
-    seen = F.struct("list_no", "list_rank")
-    fused = rows.groupBy("query_id", "content").agg(
-        F.bround(F.sum(F.lit(1.0) / (F.lit(k) + F.col("list_rank"))), 6).alias("score"), F.min_by("source", seen).alias("source"), F.min(seen).alias("seen")
-    )
-    return ranked(fused, top_k, [F.col("score").desc(), F.col("seen").asc()]).select("query_id", "rank", "content", "source", "score")
+    # texts are told apart by their digests; only winners' texts are moved
+    seen, digest = F.struct("list_no", "list_rank"), F.unhex(F.md5("content")).alias("digest")
+    score = F.bround(F.sum(F.lit(1.0) / (F.lit(k) + F.col("list_rank"))), 6).alias("score")
+    fused = rows.select("query_id", digest, "list_no", "list_rank").groupBy("query_id", "digest").agg(score, F.min(seen).alias("seen"))
+    best = ranked(fused, top_k, [F.col("score").desc(), F.col("seen").asc()]).select("query_id", "rank", "score", "seen.*")
+    return best.join(rows, ["query_id", "list_no", "list_rank"]).select("query_id", "rank", "content", "source", "score")

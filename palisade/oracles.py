@@ -24,7 +24,7 @@ def _chars(s: str) -> str:
 # --- text -------------------------------------------------------------------
 
 WORD = r"[\p{L}\p{N}_]"
-PHONE = r"(?:\+?254|0)\s?7\d{2}[\s-]?\d{3}[\s-]?\d{3}|\+\d{1,3}[\s-]?\d{2,4}[\s-]?\d{3,4}[\s-]?\d{3,4}"
+PHONE = fixed.PII_PATTERNS["phone"].replace(r"(?<!\w)", "").replace(r"(?!\w)", "")
 EMAIL = fixed.PII_PATTERNS["email"]
 PII_SQL = {
     "email": lambda t: f"regexp_extract_all({t}, {_q(EMAIL)})",
@@ -296,6 +296,12 @@ FROM (
     "memory_cleared": _with(MEMORY)
     + f"""SELECT conv_id, turn, len(users) AS n, array_to_string(users, '|') AS users FROM (
   SELECT conv_id, turn, coalesce(list(u) OVER (PARTITION BY conv_id, part ORDER BY turn ROWS BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING), []) AS users FROM (
-    SELECT *, count(*) FILTER (turn % 4 = 0 OR turn % 5 = 0) OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM exchanges))""",
+    SELECT *, count(*) FILTER (turn % 8 = 0) OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM exchanges))""",
 }
 ORACLES["indexed_retrieve_topk"] = ORACLES["overlap_retrieve_topk"]
+ORACLES["content_flattening"] = """
+WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
+flat AS (SELECT doc_id, CASE WHEN p IS NOT NULL THEN array_to_string([p[i] FOR i IN range(1, len(p) + 1) IF (i - 1) % 3 < 2], '') END AS t FROM parts)
+SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS flat_md5 FROM flat"""
+ORACLES["input_guard_in_sql"] = ORACLES["input_guard"]
+ORACLES["claims_in_sql"] = ORACLES["claims_extract"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade import sql
 from palisade.functions import emergency, fixed, guards, text
 from palisade.operators import inverted, memory, rerank, retrieval
 from palisade.plans import rag
@@ -144,6 +145,22 @@ def input_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("prompt_id", "g.is_safe", "g.blocked_reason", "g.sanitized_text", F.col("g.emergency.severity").alias("severity"), F.col("g.emergency.category").alias("category"))
 
 
+def input_guard_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The input guard by the session's SQL functions."""
+    sql.install(spark)
+    view = "palisade_prompts"
+    prompts(spark, sf_dir).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT prompt_id, g.* FROM (SELECT prompt_id, input_guard(text) AS g FROM {view})")
+
+
+def claims_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of recorded answers by the session's SQL functions."""
+    sql.install(spark)
+    view = "palisade_turns"
+    turns(spark, sf_dir).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT query_id, CAST(n AS BIGINT) AS n, claim FROM {view} LATERAL VIEW posexplode(claims(recorded)) AS n, claim")
+
+
 def overlap_retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = retrieval.overlap_best(_asked(spark, sf_dir), documents(spark, sf_dir), 5)
     return best.select("query_id", F.col("rank").cast("long").alias("rank"), "ordinal", "hits", "n_terms", "score")
@@ -305,11 +322,19 @@ def payload_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memory_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Memory that is emptied before each turn whose number divides by four or five."""
-    rows = memory.remembered(memory.exchanges(_table(spark, sf_dir, "conversations")), WINDOW, cleared=(F.col("turn") % 4 == 0) | (F.col("turn") % 5 == 0))
+    """Memory that is emptied before each turn whose number divides by eight; the window is full before that."""
+    rows = memory.remembered(memory.exchanges(_table(spark, sf_dir, "conversations")), WINDOW, cleared=F.col("turn") % 8 == 0)
     return rows.select("conv_id", "turn", F.size("memory").cast("long").alias("n"), _joined(F.transform("memory", lambda t: t["user"])).alias("users"))
 
 
+def content_flattening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's lines as the parts of a message: every third plain, every third with a text, the others of another kind."""
+    part = lambda line, n: F.struct(F.when(n % 3 == 0, line).alias("plain"), F.when(n % 3 == 1, line).alias("text"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n", -1), part).alias("parts"))
+    flat = providers.flat_content_column(F.col("parts"))
+    return rows.select("doc_id", F.length(flat).cast("long").alias("n_chars"), F.md5(flat).alias("flat_md5"))
+
+
 def stream_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each prompt as a draft, streamed word by word."""
     drafts = prompts(spark, sf_dir).select(
@@ -324,6 +349,6 @@ QUERIES = {
         content_tokens_stats, pii_detect, pii_detect_documents, pii_redact, input_sanitize, injection_rules, harmful_rules, emergency_signals, emergency_verdict, input_guard,
         overlap_retrieve_topk, indexed_retrieve_topk, lexical_rerank_topk, rrf_fusion, vector_topk, tf_hash_embedding, claims_extract, hallucination_verdict, grounding_confidence, toxicity_screen,
         disclaimer_inject, output_guard, memory_window, memory_messages, memory_stored, prompt_assembly, pipeline_replay, stream_pieces,
-        guarded_answers, blocked_stream, guards_switched, message_renderings, payload_passages, memory_cleared,
+        guarded_answers, blocked_stream, guards_switched, message_renderings, input_guard_in_sql, claims_in_sql, payload_passages, memory_cleared, content_flattening,
     )
 }

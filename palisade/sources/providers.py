@@ -88,6 +88,11 @@ def flat_prompt_column(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(F.coalesce(m["role"], F.lit("user")), F.lit(": "), F.coalesce(m["content"], F.lit("")))), "\n\n")
 
 
+def flat_content_column(parts: Column) -> Column:
+    """``flat_content`` of an array of parts ``struct<plain, text>``: plain ones, texts of others, nothing for those with neither."""
+    return F.array_join(F.transform(parts, lambda p: F.coalesce(p["plain"], p["text"], F.lit(""))), "")
+
+
 def chain_roles_column(messages: Column) -> Column:
     kind = lambda r: F.when(r == "system", "system").when(r.isin("assistant", "ai"), "ai").otherwise("human")
     return F.transform(messages, lambda m: F.struct(kind(m["role"]).alias("role"), m["content"].alias("content")))
