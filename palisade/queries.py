@@ -158,7 +158,7 @@ def claims_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.install(spark)
     view = "palisade_turns"
     turns(spark, sf_dir).createOrReplaceTempView(view)
-    return spark.sql(f"SELECT query_id, CAST(n AS BIGINT) AS n, claim FROM {view} LATERAL VIEW posexplode(claims(recorded)) AS n, claim")
+    return spark.sql(f"SELECT query_id, CAST(n AS BIGINT) AS n, claim FROM (SELECT query_id, claims(recorded) AS found FROM {view}) LATERAL VIEW posexplode(found) AS n, claim")
 
 
 def overlap_retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
