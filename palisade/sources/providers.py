@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.settings import Settings, get_settings
+from palisade.sources.calls import Calls, called
 
 MESSAGES = "array<struct<role:string,content:string>>"
 REPLY = "struct<content:string,model:string,input_tokens:int,output_tokens:int,raw_response:string>"
@@ -297,11 +298,13 @@ class ChainProvider:
             raise ProviderError(f"chain: {e}") from e
 
 
-def completed(rows: DataFrame, provider: Provider, column: str = "reply", messages: str = "messages", **options: Any) -> DataFrame:
+def completed(rows: DataFrame, provider: Provider, column: str = "reply", messages: str = "messages", calls: Calls = Calls(), **options: Any) -> DataFrame:
     """``rows`` with the provider's reply to an array of messages, as a struct of type ``REPLY``.
 
     Only rows that should be answered may be passed: filter before, since the
-    call is made for each row.
+    call is made for each row. A task has a few requests under way at once and tries again
+    after failures that pass (``calls``; a provider that threads may not share wants ``Calls(1)``). Each row has one reply
+    in the result; a task that is run again asks again.
     """
     import pyarrow as pa
 
@@ -311,10 +314,8 @@ def completed(rows: DataFrame, provider: Provider, column: str = "reply", messag
 
     def run(batches):
         for b in batches:
-            out = []
-            for m in b.column(at).to_pylist():
-                r = provider.complete(list(m or []), **options)
-                out.append(replace(r, raw_response=json.dumps(r.raw_response, default=str)).__dict__)
+            replies = called(b.column(at).to_pylist(), lambda m: provider.complete(list(m or []), **options), calls)
+            out = [replace(r, raw_response=json.dumps(r.raw_response, default=str)).__dict__ for r in replies]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)], [*b.schema.names, column])
 
     return rows.mapInArrow(run, schema)
