@@ -199,9 +199,8 @@ CELL = 4096
 FAMILY = 16
 #: Members up to which pieces are compared many at a time.
 FEW = 32
-#: Bits of a band: strangers share a variant about once in 2 ** (BAND_BITS - log2 of the number of texts) / bits.
-#: A parameter, whatever the number of texts, so that others cannot change what is found between two; many more texts than 2 ** 20 want more.
-BAND_BITS = 24
+#: Bits of a band beyond the logarithm of the number of fingerprints: strangers share a variant about once in 2 ** SPARE / bits.
+SPARE = 6
 
 
 def differing(similarity: float = SIMILARITY) -> float:
@@ -209,6 +208,11 @@ def differing(similarity: float = SIMILARITY) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def bits_for(n: int) -> int:
+    """Bits of a band by which n fingerprints share variants with about as many strangers each, however large n is."""
+    return min(BITS, max(16, n.bit_length() + SPARE))
+
+
 def bands_for(bits: int, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
     """Number of bands of so many bits by which a pair of that similarity meets with a chance of ``recall``.
 
@@ -366,19 +370,21 @@ def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, slack: int,
     return short_batches(whole).select("all").mapInArrow(run, "src long, dst long").distinct()
 
 
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, seed: int = SEED, recall: float = RECALL, bits: int = BAND_BITS) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, seed: int = SEED, recall: float = RECALL, bits: int | None = None) -> DataFrame:
     """``docs`` with one document of each group of near copies: the smallest doc_id (null last), then text hash.
 
     Near copies share ``similarity`` of their different word shingles, as
     estimated from all bits of several SimHashes; groups are what links reach.
-    ``bits`` of a band do not follow the table: documents that are unlike others change
-    nothing between those.
+    ``bits`` of a band follow the number of documents (``bits_for``), at the same ``recall``, so that the work
+    grows with the table; which pairs at the limit are missed may then change with it. With
+    ``bits`` given, documents that are unlike others change nothing between those.
     Needs ``doc_id, text``; all columns are passed on. Rows that share doc_id and
     text are one document and become one row. Null and wordless texts are copies
     of each other. An empty table gives no rows.
     """
     before = written()
     rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rank"), F.col("text").cast("binary").alias("text"))
+    bits = bits or bits_for(docs.select("doc_id").count())
     bands = bands_for(bits, similarity, recall)
     n = max(bands, VERIFIED)
 

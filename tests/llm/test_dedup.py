@@ -192,12 +192,13 @@ def test_near_others():
 
 
 def test_bands():
+    assert simhash.bits_for(0) == simhash.bits_for(100) == 16 and simhash.bits_for(10**9) == 30 + simhash.SPARE
     assert simhash.bands_for(30) > simhash.bands_for(24) > simhash.bands_for(24, 0.9) and simhash.bands_for(24, recall=0.99) > simhash.bands_for(24)
     assert abs(simhash.differing(1.0)) < 1e-6 and 0.15 < simhash.differing(0.8) < 0.153
 
 
 def test_other_documents_change_no_decision(spark):
-    """Families at similarities from 0.6 to 0.95, alone and among many unlike texts."""
+    """With bits given: families at similarities from 0.6 to 0.95, alone and among many unlike texts."""
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     own = []
@@ -206,8 +207,8 @@ def test_other_documents_change_no_decision(spark):
         for copy in range(3):
             own.append((1000 * family + copy, " ".join(w if rng.random() > 0.002 * family else word() for w in base), "en", "s"))
     others = [(10**6 + n, " ".join(word() for _ in range(30)), "en", "s") for n in range(3000)]
-    alone = {r.doc_id for r in simhash.keep_one(documents(spark, own)).collect()}
-    among = {r.doc_id for r in simhash.keep_one(documents(spark, own + others)).collect()}
+    alone = {r.doc_id for r in simhash.keep_one(documents(spark, own), bits=24).collect()}
+    among = {r.doc_id for r in simhash.keep_one(documents(spark, own + others), bits=24).collect()}
     assert 40 < len(alone) < 120
     assert {d for d in among if d < 10**6} == alone and len(among) == len(alone) + 3000
 
