@@ -67,6 +67,81 @@ def test_pages_of_other_templates_keep_their_text(spark):
     assert [r.text for r in wrappers.extract(pages).orderBy("page_id").collect()] == [w for _, w in cases]
 
 
+def texts(spark, html, host="t.com"):
+    pages = spark.createDataFrame([(n, f"http://{host}/{n}", h) for n, h in enumerate(html)], "page_id long, url string, html string")
+    return [r.text for r in wrappers.extract(pages).orderBy("page_id").collect()]
+
+
+def test_template_text_goes_by_alignment(spark):
+    """Lines that a host has on all pages at one place, in elements that nothing marks; the same lines stay where they are a page's own."""
+    rng = random.Random(3)
+    bodies = [spoken(rng, "en", 30 + n) for n in range(6)]
+    sixfold = lambda b: f"<body><div class=x1>Home About Contact</div><div class=x2><p>{b}</p></div><div class=x3>All rights reserved</div></body>"
+    assert texts(spark, map(sixfold, bodies)) == bodies
+    plain = lambda b: f"<body><div>Home About Contact</div><div>{b}</div><div>All rights reserved</div></body>"
+    assert texts(spark, map(plain, bodies)) == bodies
+    # two pages, or copies of one, tell nothing about a host
+    whole = [f"Home About Contact {b} All rights reserved" for b in bodies]
+    assert texts(spark, map(plain, bodies[:2])) == whole[:2]
+    assert texts(spark, map(plain, bodies[:1] * 6)) == whole[:1] * 6
+    # an article element holds what is a page's own, whatever other pages say
+    said = lambda b: f"<body><article><p>{b}</p><p>All rights reserved</p></article></body>"
+    assert texts(spark, map(said, bodies)) == [f"{b} All rights reserved" for b in bodies]
+    # a line that only some pages have is optional, and template where it is
+    some = [plain(b) if n % 2 else f"<body><div>Home About Contact</div><div>{b}</div><p>Old page</p><div>All rights reserved</div></body>" for n, b in enumerate(bodies)]
+    assert texts(spark, some) == bodies
+
+
+def test_elements_in_doubt(spark):
+    rng = random.Random(4)
+    bodies, more = [spoken(rng, "en", 30 + n) for n in range(6)], [spoken(rng, "en", 9 + n) for n in range(6)]
+    own = [f"<article><p>{b}</p><p class=notice>{m}</p></article>" for b, m in zip(bodies, more)]
+    both = [f"{b} {m}" for b, m in zip(bodies, more)]
+    assert texts(spark, own) == both
+    assert texts(spark, [f"<article><p>{b}</p><p class=notice>We use cookies</p></article>" for b in bodies]) == bodies
+    assert texts(spark, [f"<article><p>{b}</p><section class=discussion><p>{m}</p></section></article>" for b, m in zip(bodies, more)]) == both
+    # records that repeat on one page make a discussion of all pages' sections, also where there is one record
+    replies = lambda n, m: "".join(f"<div class=entry><p>{m} {k}</p></div>" for k in range(n))
+    assert texts(spark, [f"<article><p>{b}</p><section class=discussion>{replies(n, m)}</section></article>" for n, (b, m) in enumerate(zip(bodies, more))]) == bodies
+    assert texts(spark, [f"<article><p>{b}</p><div class=talkback><p>{m}</p></div></article>" for b, m in zip(bodies, more)]) == bodies
+    assert texts(spark, [f"<p class=notice>{m}</p><div class=post><p>{b}</p></div>" for b, m in zip(bodies, more)]) == bodies
+    assert texts(spark, [f"<div class=post><p>{b}</p><p class=notice>{m}</p></div>" for b, m in zip(bodies, more)]) == both
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_planted_templates(spark, seed):
+    """Hosts of random templates without telling names, against what was planted: fixed lines, optional ones, and bodies."""
+    rng = random.Random(seed)
+    html, want = [], []
+    for host in range(5):
+        name = lambda: "".join(rng.choice("qxzvk") for _ in range(5))
+        parts = [(rng.choice(["div", "section"]), name(), spoken(rng, "en", rng.randint(2, 6)), rng.random() < 0.3) for _ in range(rng.randint(2, 6))]
+        at, body = rng.randint(0, len(parts)), name()
+        for n in range(12):
+            own = [spoken(rng, "en", rng.randint(8, 30)) for _ in range(rng.randint(2, 5))]
+            shown = [f"<{t} class={c}>{x}</{t}>" if not some or n % 3 else "" for t, c, x, some in parts]
+            shown.insert(at, f"<div class={body}>{''.join(f'<p>{p}</p>' for p in own)}</div>")
+            html.append((f"http://h{host}.com/{n}", f"<html><body>{''.join(shown)}</body></html>"))
+            want.append(" ".join(own))
+    pages = spark.createDataFrame([(n, u, h) for n, (u, h) in enumerate(html)], "page_id long, url string, html string").repartition(7)
+    assert [r.text for r in wrappers.extract(pages).orderBy("page_id").collect()] == want
+
+
+def test_texts_of_a_place_against_brute_force():
+    """What alignment keeps at a place is what all pages have there, in whichever order pages come."""
+    rng = random.Random(8)
+    for _ in range(30):
+        pages = [[rng.choice("ab") for _ in range(3)] for _ in range(5)]
+        html = ["".join(f"<h{k + 1}>{t}</h{k + 1}>" for k, t in enumerate(p)) + f"<p>{n} own</p>" for n, p in enumerate(pages)]
+        for order in (range(5), reversed(range(5)), rng.sample(range(5), 5)):
+            w = None
+            for n in order:
+                w = wrappers.skeleton(html[n]) if w is None else wrappers.align(w, wrappers.skeleton(html[n]))
+            kept = {n[1]: set(n[2]) for n in wrappers.texts_of(w)}
+            same = {f"h{k + 1}": {wrappers.digest(pages[0][k])} if len({p[k] for p in pages}) == 1 else set() for k in range(3)}
+            assert kept == {**same, "p": set()}
+
+
 def test_fold_and_align():
     assert wrappers.fold(list("abcbcbcd")) == ["a", ["+", "b", "c"], "d"]
     assert wrappers.fold(list("aab")) == [["+", "a"], "b"]
