@@ -14,6 +14,10 @@ anchors at equal offsets, and about one byte in 185 is an anchor:
    are where a repeat is maximal; all members of an interval are reported at
    once, not neighbour pairs.
 
+A text that repeats a short period has an anchor each period, all with one
+context. Such a chain is proved on the spot, byte by byte, and leaves its first
+anchor: the rest has no windows that the first has not.
+
 Equal contexts are one class with a count before any sorting, so thousands of
 exact copies cost one entry. Hashes that more than ``LARGE`` anchors share are
 not gathered at all: their windows are counted one by one by aggregation, which
@@ -65,9 +69,8 @@ def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(hash, position, first window, last window)`` of each anchor; windows are named by their start."""
-    out: list[list[np.ndarray]] = [[], [], [], []]
+def _pieces(text: bytes, length: int, gram: int) -> Iterator[tuple[int, np.ndarray, tuple[np.ndarray, ...]]]:
+    """Where each piece of a text starts, its bytes, and ``(hash, position, first window, last window)`` of its anchors."""
     for lo in range(0, max(0, len(text) - length + 1), PIECE - length + 1):
         raw = np.frombuffer(text, np.uint8, min(PIECE, len(text) - lo), lo)
         h = gram_hashes(raw, gram)
@@ -79,10 +82,38 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
             low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
         at = (low & _PLACE).astype(np.int64)
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        last = np.r_[first[1:], len(at)] - 1
-        for o, x in zip(out, (h[at[first]].view(np.int64), at[first] + lo, first + lo, last + lo)):
+        yield lo, raw, (h[at[first]].view(np.int64), at[first], first, np.r_[first[1:], len(at)] - 1)
+
+
+def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(hash, position, first window, last window)`` of each anchor; windows are named by their start."""
+    out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
+    for lo, _, (h, *places) in _pieces(text, length, gram):
+        for o, x in zip(out, (h, *(p + lo for p in places))):
+            o.append(x)
+    return tuple(map(np.concatenate, out))  # type: ignore[return-value]
+
+
+def chain_heads(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """As ``anchors``, without those whose context is that of the one before; and where the bytes of each such chain end (0: no chain).
+
+    All windows of a chain repeat, since each is found again one anchor on or back.
+    """
+    out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
+    for lo, raw, (h, at, first, last) in _pieces(text, length, gram):
+        step = np.diff(at)
+        like = np.flatnonzero((h[1:] == h[:-1]) & (np.diff(first) == step) & (np.diff(last) == step))
+        again = np.zeros(len(at), bool)
+        for run in np.split(like, np.flatnonzero((np.diff(like) != 1) | (np.diff(step[like]) != 0)) + 1) if len(like) else ():
+            d, start, end = step[run[0]], first[run[0]], last[run[-1]] + length
+            wrong = np.r_[0, np.cumsum(raw[start:end] != raw[start + d : end + d])]
+            again[run + 1] = wrong[last[run] + length - start] == wrong[first[run] - start]
+        heads = np.flatnonzero(~again)
+        tails = np.r_[heads[1:], len(at)] - 1
+        ends = np.where(tails > heads, last[tails] + length + lo, 0)
+        for o, x in zip(out, (h[heads], at[heads] + lo, first[heads] + lo, last[heads] + lo, ends)):
             o.append(x)
-    return tuple(np.concatenate(o) if o else np.empty(0, np.int64) for o in out)  # type: ignore[return-value]
+    return tuple(map(np.concatenate, out))
 
 
 def _prefix(a: bytes, b: bytes) -> int:
@@ -181,18 +212,18 @@ def _group(rows: list[tuple], length: int) -> Iterator[tuple]:
 
 def _anchors_of(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "rank", "h", "pos", "first", "last"]
+        names = ["doc_id", "rank", "h", "pos", "first", "last", "until"]
         for b in sliced(batches):
-            ids, ranks, found = [], [], [[np.empty(0, np.int64)] for _ in range(4)]
+            ids, found = [np.empty(0, np.int64)], [[np.empty(0, np.int64)] for _ in range(5)]
             for i, t in enumerate(b.column(2)):
-                own = anchors(t.as_py(), length, gram)
-                ids += [i] * len(own[0])
+                own = chain_heads(t.as_py(), length, gram)
+                ids.append(np.full(len(own[0]), i))
                 for f, x in zip(found, own):
                     f.append(x)
-            take = pa.array(ids, pa.int64())
+            take = pa.array(np.concatenate(ids), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array(np.concatenate(f), pa.int64()) for f in found)], names)
 
-    return docs.where(F.octet_length("bytes") >= length).select("doc_id", "rank", "bytes").mapInArrow(run, "doc_id long, rank int, h long, pos long, first long, last long")
+    return docs.where(F.octet_length("bytes") >= length).select("doc_id", "rank", "bytes").mapInArrow(run, "doc_id long, rank int, h long, pos long, first long, last long, until long")
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -206,13 +237,12 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         for b in sliced(batches):
             for i in range(b.num_rows):
-                doc, rank, text, found = (b.column(k)[i].as_py() for k in range(4))
-                rows = [
-                    (f["h"], doc, rank, f["pos"], text[f["first"] : f["pos"]][::-1], text[f["pos"] : f["last"] + length])
-                    for f in found
-                ]
-                for k in range(0, len(rows), 2000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 2000]), kinds)], names)
+                doc, rank, text = (b.column(k)[i].as_py() for k in range(3))
+                found = b.column(3)[i].values
+                for k in range(0, len(found), 2000):
+                    h, pos, first, last = (found.field(j).slice(k, 2000).to_pylist() for j in range(4))
+                    before, after = [text[f:p][::-1] for f, p in zip(first, pos)], [text[p : z + length] for p, z in zip(pos, last)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((h, [doc] * len(h), [rank] * len(h), pos, before, after), kinds)], names)
 
     return both.mapInArrow(run, "h long, doc_id long, rank int, pos long, before binary, after binary")
 
@@ -293,7 +323,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
     spans = _spans_of_groups(_contexts(docs, found.join(often.where(F.col("n") <= large).drop("n"), "h"), length), length)
     if most > large:
         spans = spans.union(_spans_of_windows(_contexts(docs, found.join(often.where(F.col("n") > large).drop("n"), "h"), length), length))
-    return spans
+    return spans.union(found.where("until > 0").select("doc_id", "rank", F.col("first").alias("start"), F.col("until").alias("end")))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE) -> DataFrame:

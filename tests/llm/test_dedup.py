@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import re
 from collections import Counter
 
@@ -397,6 +398,36 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
     assert spans(whole) == spans(cut) and len({w for *_, w in spans(cut)}) == len(text) - 399
 
 
+def periodic(seed):
+    """Texts that repeat short periods: alone, at their ends, within others, and shifted."""
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    out = ["a" * 5000, "ab" * 2500, "a" * 130, "b" * 129 + "a" * 140 + "b" * 3]
+    for p in (3, 17, 60, 90, 131):
+        unit = word(p)
+        out += [word(200) + unit * 9 + word(150), unit * 4, (unit * 9)[p // 2 :] + word(40) + unit * 3 + "x" + unit * 2]
+    return out + [word(90) + "a" * 135 + word(9), word(400), "é" * 300, "é" * 70]
+
+
+@pytest.mark.parametrize("piece", [1 << 22, 700])
+def test_periodic_texts(spark, monkeypatch, piece):
+    monkeypatch.setattr(substrings, "PIECE", piece)
+    texts = periodic(5)
+    want = Counter((i, *w) for i, w in enumerate(plain_substrings(texts, 128)))
+    assert deduped(spark, [(i, t, "en", "s") for i, t in enumerate(texts)], length=128, gram=16) == want
+    for i in (0, 1, 7):  # alone: no other text repeats it
+        assert deduped(spark, [(i, texts[i], "en", "s")], length=128, gram=16) == Counter([(i, *plain_substrings([texts[i]], 128)[0])])
+
+
+def test_chains_take_time_by_their_length(spark):
+    for unit in ("x", "ab", "abc" * 50 + "d"):
+        text = (unit * 4_000_000)[:4_000_000]
+        began = time.process_time()
+        assert len(substrings.chain_heads(text.encode())[0]) < 20 and time.process_time() - began < 8
+        ((_, n, gone, runs, _),) = deduped(spark, [(1, text, "en", "s")])
+        assert (n, gone, runs) == (len(text), len(text), 1)
+
+
 def test_intervals():
     """The interval tree of a small suffix array: every set of suffixes that share a longer prefix than their parent."""
     s = sorted(["banana"[i:] for i in range(6)])
