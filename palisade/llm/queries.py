@@ -103,15 +103,16 @@ WITH RECURSIVE m AS (
   SELECT conv_id, turn, role, text, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 raw_calls AS (
-  SELECT conv_id, 'call-' || conv_id || '-' || turn AS call_id, turn, CASE role WHEN 'user' THEN 'ask' ELSE 'configure' END AS name, text, words
-  FROM m WHERE role IN ('user', 'system')),
+  SELECT conv_id, 'call-' || conv_id || '-' || CASE WHEN again THEN turn - 2 ELSE turn END AS call_id, turn,
+         CASE role WHEN 'user' THEN 'ask' ELSE 'configure' END AS name, text, words, words % 11 = 5 AS broken, words % 13 = 3 AS typed,
+         CASE WHEN words IS NOT NULL AND NOT again AND floor(turn / 8) = floor((turn + ahead) / 8) THEN 'call-' || conv_id || '-' || (turn + ahead) END AS need
+  FROM (SELECT *, coalesce(words % 17 = 6 AND turn >= 2, false) AS again, CASE WHEN words % 2 = 1 THEN 2 ELSE -2 END AS ahead FROM m WHERE role IN ('user', 'system'))),
 calls AS (
   SELECT *, count(*) OVER (PARTITION BY conv_id, call_id) AS n_calls FROM raw_calls
-  QUALIFY row_number() OVER (PARTITION BY conv_id, call_id ORDER BY name, words, text) = 1),
+  QUALIFY row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, name, words, text) = 1),
 edges AS (
   SELECT c.conv_id, c.call_id, c.turn AS own, n.call_id AS need, n.turn AS other
-  FROM calls c JOIN calls n ON n.conv_id = c.conv_id AND n.turn = c.turn + CASE WHEN c.words % 2 = 1 THEN 2 ELSE -2 END AND floor(n.turn / 8) = floor(c.turn / 8)
-  WHERE c.words IS NOT NULL),
+  FROM calls c JOIN calls n ON n.conv_id = c.conv_id AND n.call_id = c.need),
 chains(conv_id, call_id, steps) AS (
   SELECT conv_id, call_id, 0 FROM calls ANTI JOIN edges USING (conv_id, call_id)
   UNION ALL SELECT e.conv_id, e.call_id, steps + 1 FROM chains c JOIN edges e ON e.conv_id = c.conv_id AND e.need = c.call_id),
@@ -121,15 +122,17 @@ levels AS (
 judged AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY level NULLS LAST, turn) AS place,
     CASE WHEN text IS NULL THEN CASE WHEN name = 'ask' THEN '$.text: missing; $.words: missing' ELSE '$.text: missing' END
+         WHEN broken THEN '$: no JSON'
          WHEN name = 'ask' THEN concat_ws('; ', CASE WHEN length(text) NOT BETWEEN 20 AND 1000 THEN '$.text: length' END,
-                                          CASE WHEN words NOT BETWEEN 3 AND 150 THEN '$.words: out of range' END)
-         WHEN length(text) < 1 THEN '$.text: length' ELSE '' END AS errors,
-    '{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"text":' || to_json(text) || ',"words":' || words END || '},"id":"' || call_id || '","name":"' || name || '"}' AS canonical
+                                          CASE WHEN typed THEN '$.words: not integer' WHEN words NOT BETWEEN 3 AND 150 THEN '$.words: out of range' END)
+         ELSE concat_ws('; ', CASE WHEN length(text) < 1 THEN '$.text: length' END, CASE WHEN typed THEN '$.words: not integer' END) END AS errors,
+    CASE WHEN broken THEN NULL ELSE '{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"text":' || to_json(text) || ',"words":' || CASE WHEN typed THEN '"' || words || '"' ELSE words::VARCHAR END END
+      || '},"id":"' || call_id || '","name":"' || name || '"}' END AS canonical
   FROM calls JOIN levels USING (conv_id, call_id)),
 replies AS (
-  SELECT conv_id, 'call-' || conv_id || '-' || (turn - 1) AS call_id, min(turn) AS turn, count(*) AS n_results,
-         min(text) AS content
-  FROM m WHERE role = 'assistant' GROUP BY ALL)
+  SELECT conv_id, call_id, turn, count(*) OVER (PARTITION BY conv_id, call_id) AS n_results, text AS content
+  FROM (SELECT *, 'call-' || conv_id || '-' || CASE WHEN words % 7 = 4 THEN turn + 1 ELSE turn - 1 END || CASE WHEN words % 7 = 2 THEN 'x' ELSE '' END AS call_id FROM m WHERE role = 'assistant')
+  QUALIFY row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, text NULLS FIRST) = 1)
 SELECT conv_id, call_id,
        CASE WHEN j.name IS NULL THEN 'orphan' WHEN r.n_results IS NULL THEN 'unanswered' WHEN r.turn < j.turn THEN 'early' ELSE 'linked' END AS status,
        j.turn::BIGINT AS position, r.turn::BIGINT AS result_position, j.name AS name, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palisade.llm.common import sliced
 from palisade.sources.scratch import staged
 
 #: Positions of one stretch of a conversation.
@@ -156,7 +157,7 @@ def check(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         f.nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             valid, errors, texts = [], [], []
             for call_id, name, text in zip(*(b.column(k).to_pylist() for k in (i, n, a))):
                 try:
@@ -296,18 +297,28 @@ def from_conversations(chats: DataFrame) -> tuple[DataFrame, DataFrame]:
     before, if that lies in the same ``BLOCK`` turns; so calls wait for later
     ones, and two neighbours may wait for each other. Without a text it needs
     none. An assistant turn is the result of the call one turn before.
+
+    Faults of real logs come with the numbers of words, so that every rule of
+    ``link`` has rows: JSON that breaks off (remainder 5 by 11), words as a string
+    (3 by 13), a call under the identifier of two turns before that needs none
+    (6 by 17), a result for a call that nobody made (2 by 7), and one for the
+    turn after it (4 by 7).
     """
     of = lambda back: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
     name = F.when(F.col("role") == "user", "ask").when(F.col("role") == "system", "configure")
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    arguments = F.to_json(F.struct(words.alias("words"), F.col("text")))
+    shown = lambda w: F.to_json(F.struct(w.alias("words"), F.col("text")))
+    arguments = F.when(words % 13 == 3, shown(words.cast("string"))).otherwise(shown(words))
+    arguments = F.when(words % 11 == 5, F.left(arguments, F.length(arguments) - 1)).otherwise(arguments)
+    again = (words % 17 == 6) & (F.col("turn") >= 2)
     back = F.when(words % 2 == 1, -2).otherwise(2)
     same = F.floor(F.col("turn") / BLOCK) == F.floor((F.col("turn") - back) / BLOCK)
-    needs = F.when(words.isNotNull() & same, F.array(of(back))).otherwise(F.array().cast("array<string>"))
+    needs = F.when(words.isNotNull() & same & ~again, F.array(of(back))).otherwise(F.array().cast("array<string>"))
+    answered = F.when(words % 7 == 2, F.concat(of(1), F.lit("x"))).when(words % 7 == 4, of(-1)).otherwise(of(1))
     calls = chats.where(name.isNotNull()).select(
-        "conv_id", F.when(F.col("turn").isNotNull(), of(0)).alias("call_id"), F.col("turn").cast("long").alias("position"), name.alias("name"), arguments.alias("arguments"), needs.alias("needs")
+        "conv_id", F.when(F.col("turn").isNotNull(), F.when(again, of(2)).otherwise(of(0))).alias("call_id"), F.col("turn").cast("long").alias("position"), name.alias("name"), arguments.alias("arguments"), needs.alias("needs")
     )
     results = chats.where("role = 'assistant'").select(
-        "conv_id", F.when(F.col("turn").isNotNull(), of(1)).alias("call_id"), F.col("turn").cast("long").alias("position"), F.col("text").alias("content")
+        "conv_id", F.when(F.col("turn").isNotNull(), answered).alias("call_id"), F.col("turn").cast("long").alias("position"), F.col("text").alias("content")
     )
     return calls, results

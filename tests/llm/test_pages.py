@@ -1,17 +1,19 @@
 """Wrappers, latent retrieval, tool calls and the pipeline."""
 
+import hashlib
 import json
 import math
 import random
-import time
 import re
+import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palisade.llm import decontamination, mixing, tool_calls, wrappers
+from palisade.llm import decontamination, mixing, queries, tool_calls, wrappers
 from tests.llm.data import LONG, awkward, documents
 from tests.llm.test_corpus import size_of, spoken
 from tests.llm.test_dedup import plain_cut, similar
@@ -413,3 +415,24 @@ def test_queries_are_registered():
     assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
     assert F is not None
+
+
+def test_calls_of_conversations_have_every_fault(spark):
+    """Each status, broken and mistyped arguments, repeated identifiers of either side, and the query's SQL on the same turns."""
+    rng = random.Random(2)
+    word = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 5))) for _ in range(n))
+    rows = [(c, t, "system" if t == 0 and c % 3 else "assistant" if t % 2 else "user", word(rng.randint(3, 40))) for c in range(40) for t in range(rng.randint(0, 12))]
+    rows += [(90, 0, "user", None), (90, 1, "assistant", None), (91, 0, "assistant", ""), (91, 2, "user", ""), (None, 1, "user", "a b"), (92, None, "user", "a b")]
+    chats = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    calls, results = tool_calls.from_conversations(chats)
+    out = tool_calls.link(calls, results, tool_calls.CHAT_SCHEMAS).collect()
+    assert {r.status for r in out} == {"linked", "unanswered", "orphan", "early"} and {r.valid for r in out} == {True, False, None}
+    errors = {e for r in out for e in r.errors or ()}
+    assert {"$: no JSON", "$.words: not integer"} <= errors and all(r.canonical is None for r in out if r.errors == ["$: no JSON"])
+    assert {2} <= {r.n_calls for r in out} and {2} <= {r.n_results for r in out}
+    db = duckdb.connect()
+    db.register("conversations", chats.toArrow())
+    want = db.execute(f"SELECT conv_id, call_id, status, n_calls, n_results, level, place, errors, canonical_md5 FROM ({queries.ORACLES['op1_tool_call_linking']})").fetchall()
+    digest = lambda x: None if x is None else hashlib.md5(x.encode()).hexdigest()
+    own = [(r.conv_id, r.call_id, r.status, r.n_calls, r.n_results, r.level, r.place, None if r.errors is None else "; ".join(r.errors), digest(r.canonical)) for r in out]
+    assert sorted(own, key=repr) == sorted(want, key=repr)
