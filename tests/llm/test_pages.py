@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -233,14 +234,21 @@ def test_blocks_of_items(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(documents(spark, docs), bench).collect()} == truth
 
 
-def test_candidates_recall(spark):
-    """Windows whose exact TF-IDF cosine with an item is high are candidates in the latent space."""
+@pytest.mark.parametrize(("rank", "limits"), [(24, (0.5,)), (decontamination.RANK, (0.5, decontamination.COSINE))])
+def test_candidates_recall(spark, rank, limits):
+    """Windows whose exact TF-IDF cosine with an item is high are candidates in the latent space.
+
+    From 0.5 on in a space of few dimensions, and from the operator's own limit on
+    in one of its own rank; with its norms of windows, and with those by the true
+    weights of all words, in the vocabulary or not.
+    """
     items, docs, _ = leaky(random.Random(11))
-    space = decontamination.fit(documents(spark, docs), items, rank=24)
+    space = decontamination.fit(documents(spark, docs), items, rank=rank)
     n, df = decontamination.document_frequencies(documents(spark, docs), space.vocabulary)
     idf = np.log((n + 1) / (df + 1)) + 0.1
     own = decontamination._matrix([w for _, w, _ in decontamination._passages(items)], space.vocabulary, idf)
-    near = found = 0
+    often = Counter(w for _, t, *_ in docs for w in set(decontamination.words_of(t)))
+    near, found = Counter(), Counter()
     for _, t, *_ in docs:
         words = decontamination.words_of(t)
         ids = np.array([space.vocabulary.get(w, -1) for w in words])
@@ -251,10 +259,13 @@ def test_candidates_recall(spark):
                 part = ids[lo:hi]
                 x = np.zeros(len(idf))
                 np.add.at(x, part[part >= 0], idf[part[part >= 0]])
-                exact = own @ x / math.sqrt(space.mass[part, 0].sum())
-                high = {(lo, hi, int(j)) for j in np.flatnonzero(exact >= 0.5)}
-                near, found = near + len(high), found + len(high & got)
-    assert near > 100 and found / near >= 0.9
+                true = math.sqrt(sum((c * (math.log((n + 1) / (often[w] + 1)) + 0.1)) ** 2 for w, c in Counter(words[lo:hi]).items()))
+                for norm in (math.sqrt(space.mass[part, 0].sum()), true):
+                    for least in limits:
+                        high = {(lo, hi, int(j)) for j in np.flatnonzero(own @ x / norm >= least)}
+                        case = norm is true, least
+                        near[case], found[case] = near[case] + len(high), found[case] + len(high & got)
+    assert len(near) == 2 * len(limits) and all(near[c] > 100 and found[c] / near[c] >= 0.9 for c in near), (near, found)
 
 
 # --- tool calls --------------------------------------------------------------------
