@@ -271,7 +271,8 @@ def _scored(visits: DataFrame, forest: Forest, k: int, same: bool) -> DataFrame:
     blocks = visits.groupBy("cell", F.floor(F.col("request") / ASKED).alias("stretch")).agg(F.collect_list(F.struct(*REQUEST)).alias("asked"))
     blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
     pages = forest.pages.withColumn("part", F.pmod("page", parts.cast("long")))
-    both = blocks.join(pages, ["cell", "part"]).select("asked", "ids", "labels", "vectors", "low", "high")
+    # requests, pages and results grow with the rows: none of these joins may send a side through the driver
+    both = blocks.hint("merge").join(pages, ["cell", "part"]).select("asked", "ids", "labels", "vectors", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -325,7 +326,7 @@ def nearest(requests: DataFrame, forest: Forest, k: int, same: bool) -> DataFram
         now = requests.withColumn("least", F.lit(None).cast("long"))
         if found is not None:
             have = found.groupBy("request").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
-            now = requests.join(have, "request", "left")
+            now = requests.join(have.hint("merge"), "request", "left")
         hits = _scored(_visits(now, forest, start, end), forest, k, same)
         every = hits if found is None else hits.unionByName(found.select("request", "score", "id"))
         old, found = found, staged(every.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k), "nearest")
@@ -362,9 +363,9 @@ def hard_negatives(
     asking = packed(F.col("v"), forest.kind, forest.dims, own.where(anchors)).withColumn("request", F.monotonically_increasing_id())
     asking = staged(asking.select("request", "id", "label", "v", none.alias("low"), none.alias("high")), "anchors")
     better = nearest(asking, forest, positives, True).select(F.col("request").alias("anchor"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
-    pairs = asking.drop("low", "high").withColumnRenamed("request", "anchor").join(better, "anchor")
+    pairs = asking.drop("low", "high").withColumnRenamed("request", "anchor").join(better.hint("merge"), "anchor")
     pairs = pairs.withColumns({"low": per_cent(F.col("positive_score"), window[0], True), "high": per_cent(F.col("positive_score"), window[1], False)})
     pairs = staged(pairs.withColumn("request", F.monotonically_increasing_id()).withColumnRenamed("id", "anchor_id"), "windows")
     found = nearest(pairs.select("request", F.col("anchor_id").alias("id"), "label", "v", "low", "high"), forest, negatives, False)
-    out = pairs.select("request", "anchor_id", "positive_id", "positive_score").join(found.withColumnsRenamed({"id": "negative_id", "score": "negative_score"}), "request")
+    out = pairs.select("request", "anchor_id", "positive_id", "positive_score").join(found.withColumnsRenamed({"id": "negative_id", "score": "negative_score"}).hint("merge"), "request")
     return out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")

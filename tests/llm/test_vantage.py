@@ -110,3 +110,15 @@ def test_query_against_all_pairs(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.vec_id, (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert got(QUERIES["op12_vantage_negatives"](spark, sf)) == expected(rows, lambda i: i % 50 == 0)
+
+
+def test_nothing_that_grows_is_broadcast(spark, monkeypatch):
+    """Requests, pages and results meet in joins that send no side through the driver, however small they are."""
+    plans, staged = [], vantage.staged
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(vantage, "staged", lambda df, label: (planned(df), staged(df, label))[1])
+    rng = random.Random(5)
+    out = vantage.hard_negatives(table(spark, [(i, i % 3, [rng.gauss(0, 1) for _ in range(4)]) for i in range(200)]), F.col("id") % 50 == 0, "id", "vector", "label")
+    planned(out)
+    assert out.count() and sum("SortMergeJoin" in p for p in plans) >= 6
+    assert not [p for p in plans if "Broadcast" in p]
