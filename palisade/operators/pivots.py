@@ -187,7 +187,8 @@ def _scored(visits: DataFrame, index: PivotIndex, top_k: int, digits: int, visit
     parts = F.get(F.array(*map(F.lit, index.parts)), F.col("cell").cast("int")).cast("long")
     blocks = visits.groupBy("cell", F.floor(F.col("number") / ASKED).alias("stretch")).agg(F.collect_list(F.struct("number", "v", "worst")).alias("asked"))
     blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    both = blocks.join(index.pages.withColumn("part", F.pmod("page", parts)), ["cell", "part"]).select("asked", "ordinals", "vectors", "low", "high")
+    # queries, pages and results grow with the rows: none of these joins may send a side through the driver
+    both = blocks.hint("merge").join(index.pages.withColumn("part", F.pmod("page", parts)), ["cell", "part"]).select("asked", "ordinals", "vectors", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -249,7 +250,7 @@ def search(queries: DataFrame, index: PivotIndex | None, top_k: int = 5, digits:
         near = own.withColumn("worst", F.lit(None).cast("double"))
         first = staged(cut(found.unionByName(_scored(_cells(near, index, True), index, top_k, digits, visited))), "nearest").drop("rank")
         worst = first.groupBy("number").agg(F.when(F.count("*") >= top_k, F.min("score")).alias("worst"))
-        rest = _scored(_cells(own.join(worst, "number", "left"), index, False), index, top_k, digits, visited)
+        rest = _scored(_cells(own.join(worst.hint("merge"), "number", "left"), index, False), index, top_k, digits, visited)
         found = first.unionByName(rest)
     best = staged(cut(found), "winners")
-    return best.join(asked.select("number", "query_id"), "number").select("query_id", "rank", "ordinal", "score")
+    return best.join(asked.select("number", "query_id").hint("merge"), "number").select("query_id", "rank", "ordinal", "score")

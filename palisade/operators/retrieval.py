@@ -119,4 +119,4 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, top_k: int = 5, digits:
     """
     _checked(top_k)
     found = pivots.search(queries, pivots.build(vectors, max(top_k, 1)), top_k, digits)
-    return found.join(vectors.drop("vector", "score", "rank", "query_id"), "ordinal")
+    return found.hint("merge").join(vectors.drop("vector", "score", "rank", "query_id"), "ordinal")
