@@ -81,7 +81,7 @@ def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded answers with the passages retrieved for their questions."""
     rows = turns(spark, sf_dir).where("recorded is not null")
     found = rag.gathered(retrieval.overlap_topk(rows.select("query_id", F.col("text").alias("query")), documents(spark, sf_dir), 5))
-    return rows.join(found.hint("merge"), "query_id", "left").withColumn("context", F.coalesce(F.transform("sources", lambda s: s["content"]), F.array().cast("array<string>")))
+    return rag.spread(rows, "query_id").join(found.hint("merge"), "query_id", "left").withColumn("context", F.coalesce(F.transform("sources", lambda s: s["content"]), F.array().cast("array<string>")))
 
 
 def _joined(c: Column, sep: str = "|") -> Column:
