@@ -19,7 +19,7 @@ class RerankerError(Exception):
     """A reranker cannot be built."""
 
 
-def lexical(queries: DataFrame, candidates: DataFrame, top_k: int = 3) -> DataFrame:
+def lexical(queries: DataFrame, candidates: DataFrame, top_k: int = 3, passages: DataFrame | None = None) -> DataFrame:
     """Rerank ``candidates(query_id, rank, content, ...)`` by tf over length times ln(1 + 1 / df).
 
     df counts the query's candidates that have the term. Scores have six digits;
@@ -27,10 +27,13 @@ def lexical(queries: DataFrame, candidates: DataFrame, top_k: int = 3) -> DataFr
     A passage is tokenised once, however many queries it is a candidate of, and
     what meets the queries' terms is its counts. Exchanges after that are keyed
     by query and by query and candidate: each group is one candidate list.
+    ``passages(key, content)``, if given, has the candidates' texts, and candidates
+    have the ``key`` instead; rows of one key have one content.
     """
-    own = candidates.withColumnRenamed("rank", "old_rank").drop("score").withColumn("_passage", F.xxhash64("content"))
-    passages = own.groupBy("_passage").agg(F.first("content").alias("content")).select("_passage", text.content_tokens(F.col("content")).alias("bag"))
-    counts = passages.select("_passage", F.size("bag").alias("n"), F.explode("bag").alias("token")).groupBy("_passage", "token").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    own = candidates.withColumnRenamed("rank", "old_rank").drop("score").withColumn("_passage", F.xxhash64("content") if passages is None else F.col("key"))
+    texts = own if passages is None else passages.withColumnRenamed("key", "_passage")
+    bags = texts.groupBy("_passage").agg(F.first("content").alias("content")).select("_passage", text.content_tokens(F.col("content")).alias("bag"))
+    counts = bags.select("_passage", F.size("bag").alias("n"), F.explode("bag").alias("token")).groupBy("_passage", "token").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
     wanted = own.select("query_id", "old_rank", "_passage").join(query_terms(queries).drop("n_terms"), "query_id")
     tf = wanted.hint("merge").join(counts, ["_passage", "token"])
     df = F.count("*").over(W.partitionBy("query_id", "token"))

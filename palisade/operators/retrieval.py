@@ -8,6 +8,7 @@ falling score, then ordinal.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,12 +19,26 @@ from palisade.operators import inverted, pivots
 from palisade.sources.scratch import staged
 
 EMBEDDING_SIZE = 256
+#: What a passage of a list is known by.
+KEY = ("ordinal", "key")
 
 
 class RetrieverError(Exception):
     """A retriever cannot be built or reached."""
 
 
+class Found(NamedTuple):
+    """Ranked lists without texts, and each passage that is in them once.
+
+    ``lists(query_id, rank, part, row, ordinal, key, hits, n_terms, score)``; ``terms(part, row, terms)`` of
+    all passages; ``passages(ordinal, key, content, source, ...)`` of those that are in a list.
+    """
+
+    lists: DataFrame
+    terms: DataFrame
+    passages: DataFrame
+
+
 def _checked(top_k: int) -> int:
     if top_k < 0:
         raise ValueError("top_k must not be negative")
@@ -58,6 +73,32 @@ def overlap_best(queries: DataFrame, corpus: DataFrame, top_k: int = 5) -> DataF
     return inverted.search(queries, inverted.build(corpus), top_k).drop("part", "row")
 
 
+def overlap_found(queries: DataFrame, corpus: DataFrame, top_k: int = 5) -> Found:
+    """The lists of ``overlap_topk`` by reference.
+
+    A few long passages are in the lists of many queries: copied to each of them,
+    texts of 0.17 GB become several GB. So texts stay apart until something needs them.
+    """
+    _checked(top_k)
+    index = inverted.build(corpus)
+    best = staged(inverted.search(queries, index, top_k), "winners")
+    known = corpus.drop("query_id", "rank", "key", "hits", "n_terms", "score")
+    known = known.withColumns({"key": F.xxhash64("content"), "ordinal": F.col("ordinal").cast("long")}).join(best.select(*KEY).distinct(), [*KEY], "left_semi")
+    return Found(best, index.passages.select(*inverted.PASSAGE, "terms"), known.dropDuplicates([*KEY]))
+
+
+def known_terms(texts: DataFrame, found: Found) -> DataFrame:
+    """``(query_id, known)``: the content tokens of each of ``texts(query_id, text)`` that the passages of its list have.
+
+    A query's passages and tokens meet the passages' tokens in an equi-join on both, so no
+    passage's tokens are copied to the queries. Rows without such a token are left out.
+    """
+    own = texts.select("query_id", F.explode(text.token_set(F.col("text"))).alias("token"))
+    wanted = found.lists.select("query_id", *inverted.PASSAGE).join(own.hint("merge"), "query_id")
+    has = found.terms.join(found.lists.select(*inverted.PASSAGE).distinct(), [*inverted.PASSAGE], "left_semi").select(*inverted.PASSAGE, F.explode("terms").alias("token"))
+    return wanted.join(has.hint("merge"), [*inverted.PASSAGE, "token"]).groupBy("query_id").agg(F.collect_set("token").alias("known"))
+
+
 def overlap_topk(queries: DataFrame, corpus: DataFrame, top_k: int = 5) -> DataFrame:
     """Ranked lists by token overlap, with the passages' columns; see ``overlap_best``.
 
@@ -65,10 +106,8 @@ def overlap_topk(queries: DataFrame, corpus: DataFrame, top_k: int = 5) -> DataF
     are named like those of a ranked list are left out. Rows that are alike in
     ordinal and content take a rank each.
     """
-    best = staged(overlap_best(queries, corpus, top_k), "winners")
-    known = corpus.drop("query_id", "rank", "key", "hits", "n_terms", "score")
-    known = known.withColumns({"key": F.xxhash64("content"), "ordinal": F.col("ordinal").cast("long")}).join(best.select("ordinal", "key").distinct(), ["ordinal", "key"], "left_semi")
-    return best.join(known.dropDuplicates(["ordinal", "key"]), ["ordinal", "key"]).drop("key")
+    found = overlap_found(queries, corpus, top_k)
+    return found.lists.drop(*inverted.PASSAGE).join(found.passages, [*KEY]).drop("key")
 
 
 def hashed_embedding(corpus: DataFrame, id: str, content: str, size: int = EMBEDDING_SIZE, tokens: Column | None = None) -> DataFrame:

@@ -183,8 +183,12 @@ def lexical_rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, docs = _asked(spark, sf_dir), documents(spark, sf_dir)
-    by_overlap = staged(retrieval.overlap_topk(asked, docs, 10), "by-overlap")
-    by_terms = rerank.lexical(asked, by_overlap, 10)
+    found = retrieval.overlap_found(asked, docs, 10)
+    passages = staged(found.passages.select(*retrieval.KEY, "content", "source"), "passages")
+    # lists have their passages' digests in place of the texts
+    digests = staged(passages.select(*retrieval.KEY, F.md5("content").alias("content"), "source"), "digests")
+    by_overlap = staged(found.lists.select("query_id", "rank", *retrieval.KEY).hint("merge").join(digests, [*retrieval.KEY]), "by-overlap")
+    by_terms = rerank.lexical(asked, by_overlap.withColumn("score", F.lit(None)), 10, passages)
     out = rerank.reciprocal_rank_fusion([by_overlap, by_terms], 3, candidates=by_overlap)
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), F.md5("content").alias("content_md5"), "source", "score")
 
