@@ -177,7 +177,8 @@ def indexed_retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical_rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _asked(spark, sf_dir)
-    out = rerank.lexical(asked, retrieval.overlap_topk(asked, documents(spark, sf_dir), 10), 3)
+    found = retrieval.overlap_found(asked, documents(spark, sf_dir), 10)
+    out = rerank.lexical(asked, found.lists, 3, found.passages)
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "ordinal", "score")
 
 
