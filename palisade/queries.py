@@ -80,8 +80,8 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded answers with the passages retrieved for their questions."""
     rows = turns(spark, sf_dir).where("recorded is not null")
-    found = rag.gathered(retrieval.overlap_topk(rows.select("query_id", F.col("text").alias("query")), documents(spark, sf_dir), 5))
-    return rag.spread(rows, "query_id").join(found.hint("merge"), "query_id", "left").withColumn("context", F.coalesce(F.transform("sources", lambda s: s["content"]), F.array().cast("array<string>")))
+    found = retrieval.overlap_found(rows.select("query_id", F.col("text").alias("query")), documents(spark, sf_dir), 5)
+    return rag.grounded(rag.spread(rows, "query_id"), F.col("recorded"), found).withColumnRenamed("sources", "context")
 
 
 def _joined(c: Column, sep: str = "|") -> Column:
@@ -213,7 +213,7 @@ def claims_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hallucination_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _drafts(spark, sf_dir).select("query_id", guards.hallucination(F.col("recorded"), F.col("context")).alias("h"))
+    rows = _drafts(spark, sf_dir).select("query_id", guards.hallucination(F.col("recorded"), F.col("context"), known=F.col("known")).alias("h"))
     return rows.select("query_id", "h.score", "h.verdict", "h.n_ungrounded", "h.n_claims", _joined(F.col("h.grounded_claims")).alias("grounded"), _joined(F.col("h.ungrounded_claims")).alias("ungrounded"))
 
 
