@@ -218,7 +218,7 @@ def hallucination_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grounding_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drafts(spark, sf_dir).select("query_id", guards.confidence(F.col("recorded"), F.col("context")).alias("confidence"))
+    return _drafts(spark, sf_dir).select("query_id", guards.confidence(F.col("recorded"), F.col("context"), F.col("known")).alias("confidence"))
 
 
 def toxicity_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
