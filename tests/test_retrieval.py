@@ -259,3 +259,16 @@ def test_vector_store(spark):
     reply = {"result": [{"id": 9, "score": 0.5, "payload": {"text": "t", "n": 1}}]}
     out = vector_store.search(asked(spark, "alpha"), settings=Settings(qdrant_url="http://store"), transport=lambda u, h, b: iter([reply])).collect()
     assert [(r.query_id, r.rank, r.content, r.source, r.score, r.metadata) for r in out] == [(0, 1, "t", "9", 0.5, {"n": "1"})]
+
+
+def test_index_without_posting_lists(spark, tmp_path):
+    """No posting lists are stored for an index that is only searched, and merged parts can go; lists stay the same."""
+    rows = [(n, f"w{n % 7}x w{n % 5}x", f"s{n}") for n in range(60)]
+    docs = spark.createDataFrame(rows, "ordinal long, content string, source string")
+    questions = asked(spark, "w1x w2x", "w3x")
+    index = inverted.StoredIndex(spark, str(tmp_path / "index"), buckets=0).create()
+    index.append(docs.where("ordinal < 20")).append(docs.where("ordinal between 20 and 39")).merge().vacuum().append(docs.where("ordinal > 39"))
+    assert len(list((tmp_path / "index").glob("part-*"))) == 2 and not list((tmp_path / "index").glob("*/postings"))
+    again = inverted.StoredIndex(spark, str(tmp_path / "index"))
+    assert again.open().postings == [] and again.open().passages.count() == 60
+    assert listed(again.topk(questions, 5)) == listed(retrieval.overlap_topk(questions, docs, 5))
