@@ -78,7 +78,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded answers with the passages retrieved for their questions."""
+    """Recorded answers with the passages retrieved for their questions (``context``, by reference), and their tokens that these have (``known``)."""
     rows = turns(spark, sf_dir).where("recorded is not null")
     found = retrieval.overlap_found(rows.select("query_id", F.col("text").alias("query")), documents(spark, sf_dir), 5)
     return rag.grounded(rag.spread(rows, "query_id"), F.col("recorded"), found).withColumnRenamed("sources", "context")
@@ -194,7 +194,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_overlap = staged(found.lists.select("query_id", "rank", *retrieval.KEY).hint("merge").join(digests, [*retrieval.KEY]), "by-overlap")
     by_terms = rerank.lexical(asked, by_overlap.withColumn("score", F.lit(None)), 10, passages)
     out = rerank.reciprocal_rank_fusion([by_overlap, by_terms], 3, candidates=by_overlap)
-    return out.select("query_id", F.col("rank").cast("long").alias("rank"), F.md5("content").alias("content_md5"), "source", "score")
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("content").alias("content_md5"), "source", "score")
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,26 +257,26 @@ def memory_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "length", _joined(F.transform("memory", lambda t: t["user"])).alias("users"))
 
 
-def _replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rag.replay(turns(spark, sf_dir).where("recorded is not null"), documents(spark, sf_dir), SETTINGS, 3)
+def _replay(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return rag.replay(turns(spark, sf_dir).where("recorded is not null"), documents(spark, sf_dir), SETTINGS, 3, columns)
 
 
 def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _replay(spark, sf_dir).where("messages is not null")
+    rows = _replay(spark, sf_dir, "query_id", "messages").where("messages is not null")
     last = F.element_at("messages", -1)
     return rows.select("query_id", F.size("messages").cast("long").alias("n_messages"), _joined(F.transform("messages", lambda m: m["role"])).alias("roles"), F.md5(last["content"]).alias("user_turn_md5"))
 
 
-def _answers(done: DataFrame) -> DataFrame:
+def _answers(done: DataFrame, n_sources: Column | None = None) -> DataFrame:
     return done.select(
-        "query_id", "was_blocked", "block_reason", F.md5("answer").alias("answer_md5"), F.size("sources").cast("long").alias("n_sources"),
+        "query_id", "was_blocked", "block_reason", F.md5("answer").alias("answer_md5"), (F.size("sources") if n_sources is None else n_sources).cast("long").alias("n_sources"),
         F.col("hallucination.score").alias("hallucination_score"), F.col("hallucination.verdict").alias("verdict"), F.col("output.confidence_score").alias("confidence"),
         _joined(F.col("output.warnings")).alias("warnings"),
     )
 
 
 def pipeline_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(_replay(spark, sf_dir))
+    return _answers(_replay(spark, sf_dir, "query_id", "was_blocked", "block_reason", "answer", "n_sources", "hallucination", "output"), F.col("n_sources"))
 
 
 def guarded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
