@@ -234,6 +234,34 @@ def test_blocks_of_items(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(documents(spark, docs), bench).collect()} == truth
 
 
+def test_few_windows_are_projected(spark):
+    """Windows whose words' best products with any passage cannot reach the limit are left out, and no window that reaches it is."""
+    rng = random.Random(13)
+    items, docs, _ = leaky(rng)
+    own = sorted({w for _, t in items for w in t.lower().replace(".", " ").split()})
+    docs += [(1000 + k, " ".join(rng.choice(own) if rng.random() < 0.25 else f"z{rng.randrange(10**6)}" for _ in range(200)), "en", "s") for k in range(200)]
+    space = decontamination.fit(documents(spark, docs), items)
+    looked = able = near = 0
+    for _, t, *_ in docs:
+        words = decontamination.words_of(t)
+        ids = np.array([space.vocabulary.get(w, -1) for w in words])
+        got = {(int(a[i]), int(z[i])): c[i] for a, z, c in space.windows(ids) for i in range(len(a))}
+        looked += len(got)
+        for span in decontamination.SPANS:
+            for a in range(0, max(1, -(-len(ids) // decontamination.STEP) - span + 1)):
+                lo, hi = a * decontamination.STEP, min(len(ids), (a + span) * decontamination.STEP)
+                part = ids[lo:hi]
+                weight, known = space.mass[part, :2].sum(axis=0)
+                if known < decontamination.COSINE**2 * weight:
+                    continue
+                able += 1
+                cos = space.passages.astype(float) @ space.vectors[part[part >= 0]].astype(float).sum(axis=0) / math.sqrt(weight)
+                if cos.max() >= decontamination.COSINE:
+                    near += 1
+                    assert np.allclose(got[lo, hi], cos, atol=1e-5)
+    assert near > 500 and near <= looked < 0.6 * able
+
+
 @pytest.mark.parametrize(("rank", "limits"), [(24, (0.5,)), (decontamination.RANK, (0.5, decontamination.COSINE))])
 def test_candidates_recall(spark, rank, limits):
     """Windows whose exact TF-IDF cosine with an item is high are candidates in the latent space.
