@@ -129,7 +129,7 @@ def install_topk(spark: SparkSession, index: Index, name: str = "overlap_topk")
     reads the posting lists of the question's tokens.
     """
     rows = staged(postings_of(index.passages), f"{name.replace('_', '-')}-postings")
-    keys = index.passages.select("part", "row", "key")
+    keys = index.passages.select("part", "row", "ordinal", "key")
     rows.join(keys, ["part", "row"]).createOrReplaceTempView(f"{name}_postings")
     spark.sql(f"""
 CREATE OR REPLACE TEMPORARY FUNCTION {name}(question STRING, k INT) RETURNS TABLE (rank INT, ordinal BIGINT, hits BIGINT, n_terms BIGINT, score DOUBLE) RETURN
