@@ -106,6 +106,48 @@ def test_overlap_over_many_blocks(spark, monkeypatch):
     assert inverted.candidates(terms, inverted.build(docs), 3).count() == 20 * 5 * 3
 
 
+@pytest.mark.parametrize(("size", "share", "dense"), [(64, 1, 2), (300, 0.1, 4), (300, 1, 128), (300, 1, 1)])
+def test_hits_from_a_floor(monkeypatch, size, share, dense):
+    """Passages that have a query's floor of hits or more: all are found, with their hits, by lists or by counting."""
+    monkeypatch.setattr(counting, "SHARE", share)
+    monkeypatch.setattr(counting, "DENSE", dense)
+    monkeypatch.setattr(counting, "LISTED", 500)
+    rng = np.random.default_rng(size)
+    often = 1 / np.arange(1, 401)
+    draw = lambda n: np.unique(rng.choice(400, n, p=often / often.sum()))
+    passages, queries = [draw(40) for _ in range(size)], [draw(rng.integers(0, 60)) for _ in range(90)]
+    block = counting.Block(np.concatenate(passages), np.repeat(np.arange(size), [len(p) for p in passages]), size, 400)
+    floor = rng.integers(0, 14, 90)
+    found = {}
+    for part in block.at_least(np.concatenate([np.r_[q, -1] for q in queries]), np.array([len(q) + 1 for q in queries]), floor, size):
+        for q, place, hits in zip(*part):
+            found.setdefault(q, []).append((-hits, place))
+    for n, q in enumerate(queries):
+        want = sorted((-h, i) for i, p in enumerate(passages) if (h := len(np.intersect1d(p, q))) >= max(floor[n], 1))
+        assert sorted(x for x in found.get(n, []) if -x[0] >= floor[n]) == want
+
+
+def test_overlap_with_floors(spark, monkeypatch):
+    """Floors from the longest passages change no list, equal scores and lengths included, and fewer rows leave the blocks."""
+    rng = random.Random(7)
+    words = [f"w{n}x" for n in range(60)]
+    rows = [(n, " ".join(rng.choices(words, k=rng.choice([8, 8, 40]))), "s") for n in range(300)] + [(n, "w1x w2x w3x", "s") for n in range(300, 340)]
+    docs = spark.createDataFrame(rows, "ordinal long, content string, source string")
+    questions = asked(spark, *(" ".join(rng.choices(words, k=12)) for _ in range(25)), "w1x w2x w3x", "unknown", "w5x")
+    want = sorted(map(tuple, retrieval.overlap_best(questions, docs, 3).collect()))
+    terms, index = questions.select("query_id", text.token_set(F.col("query")).alias("terms")), inverted.build(docs)
+    monkeypatch.setattr(inverted, "BLOCK", 40)
+    before = inverted.candidates(terms, index, 3).count()
+    for longest in (2, 30, 1000):
+        monkeypatch.setattr(inverted, "LONGEST", longest)
+        monkeypatch.setattr(inverted, "FLOORS_FROM", 0)
+        assert sorted(map(tuple, retrieval.overlap_best(questions, docs, 3).collect())) == want
+        if longest == 30:
+            assert inverted._longest(index.passages).count() <= 40
+            assert inverted.candidates(terms, index, 3).count() < before / 2
+    assert len(want) == 27 * 3
+
+
 def test_few_pairs_are_checked(spark):
     """At sf0.1 the filter leaves under a twentieth of all pairs of query and passage."""
     sf = "/root/testdata/sf0.1"
