@@ -86,10 +86,16 @@ class Block:
 
     def __init__(self, token: np.ndarray, place: np.ndarray, size: int, n_tokens: int):
         shift = max(size - 1, 1).bit_length()
-        both = np.sort(token.astype(np.int64) << shift | place)
-        self.token, self.place = both >> shift, (both & ((1 << shift) - 1)).astype(np.uint32)
+        # in place: a block of long passages has millions of tokens
+        both = np.left_shift(token, shift, dtype=np.int64)
+        both |= place
+        both.sort()
+        self.place = both.astype(np.uint32)
+        self.place &= np.uint32((1 << shift) - 1)
+        both >>= shift
         self.words = -(-size // 64)
-        self.count = np.bincount(self.token, minlength=n_tokens)
+        self.count = np.bincount(both, minlength=n_tokens)
+        del both
         self.start = np.r_[0, np.cumsum(self.count)]
         often = np.flatnonzero(self.count * DENSE >= max(size, DENSE))
         self.row = np.full(n_tokens + 1, -1)

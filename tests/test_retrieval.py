@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -127,6 +128,17 @@ def test_hits_from_a_floor(monkeypatch, size, share, dense):
         assert sorted(x for x in found.get(n, []) if -x[0] >= floor[n]) == want
 
 
+def test_a_block_holds_places_only():
+    """A million tokens of rare words: kept are four bytes each and the words' counts, and little more than two copies while it is built."""
+    rng = np.random.default_rng(1)
+    token, place = rng.integers(0, 20000, 1 << 20).astype(np.int32), rng.integers(0, 1 << 16, 1 << 20).astype(np.int32)
+    tracemalloc.start()
+    block = counting.Block(token, place, 1 << 16, 20000)
+    kept, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(block.dense) <= 1 and kept < 6 * (1 << 20) and most < 20 * (1 << 20)
+
+
 def test_overlap_with_floors(spark, monkeypatch):
     """Floors from the longest passages change no list, equal scores and lengths included, and fewer rows leave the blocks."""
     rng = random.Random(7)
